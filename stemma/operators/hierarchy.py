@@ -130,27 +130,15 @@ def cycle_nodes(c: Contraction) -> DataFrame:
     A core lies on its cycle.  Backwards, a compressed node lies on a cycle
     exactly if the child it was taken out above does.
     """
-    found = None
-    for t in reversed([x.df for x in c.rounds]):
-        own = t.where(F.col("action") == "core").select("g", "id")
-        if found is None:
-            found = own
-            continue
-        gone = t.where(F.col("action") == "compress").select("g", F.col("id").alias("at"), F.col("only").alias("id"))
-        found = found.unionByName(own).unionByName(found.join(gone, ["g", "id"]).select("g", F.col("at").alias("id")))
-    return found
-
-
-def _cycles_stepwise(c: Contraction) -> DataFrame:
-    """As ``cycle_nodes``, written out every few rounds so that the plan stays small."""
     tables = [x.df for x in c.rounds]
     found = tables[-1].where(F.col("action") == "core").select("g", "id")
-    for k, t in enumerate(reversed(tables[:-1]), 1):
+    if not c.has_cores:
+        return found.limit(0)
+    for t in reversed(tables[:-1]):
         own = t.where(F.col("action") == "core").select("g", "id")
-        gone = t.where(F.col("action") == "compress").select("g", F.col("id").alias("at"), F.col("only").alias("id"))
-        found = found.unionByName(own).unionByName(found.join(gone, ["g", "id"]).select("g", F.col("at").alias("id")))
-        if k % 4 == 0:
-            found = materialize(found, "cycles").df
+        gone = t.where(F.col("action") == "compress").select("g", F.col("id").alias("up"), F.col("only").alias("id"))
+        both = F.explode(F.array_compact(F.array("id", "up")))
+        found = found.join(gone, ["g", "id"], "left").select("g", both.alias("id")).unionByName(own)
     return found
 
 
@@ -158,7 +146,7 @@ def find_cycles(df: DataFrame, group: list[str], node: str, parent: str, root_va
     """Distinct (group columns, node) of the nodes that lie on a cycle; none for an empty table."""
     c = contract(edges(df, group, node, parent, root_value))
     kind = df.schema[node].dataType
-    return _cycles_stepwise(c).select(*[F.col("g")[n].alias(n) for n in group], F.col("id").cast(kind).alias(node))
+    return cycle_nodes(c).select(*[F.col("g")[n].alias(n) for n in group], F.col("id").cast(kind).alias(node))
 
 
 def expand(c: Contraction) -> DataFrame:
