@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stemma.llm import pack, tokenize
+from stemma.llm import canonical, pack, tokenize, unify
 from stemma.session import table
 
 
@@ -20,8 +20,22 @@ def p8_report(spark, d):
     return pack.fill_report(p8_pack(spark, d))
 
 
+def p3_found(spark, d):
+    return canonical.map_records(table(spark, d, "candidates"), table(spark, d, "nodes"), table(spark, d, "label_reference"))
+
+
+def p6_found(spark, d):
+    return unify.odd_fields(table(spark, d, "candidates"), ["accession_number", "sequence", "cand_no"], ["label_raw", "title"])
+
+
+def p6_unified(spark, d):
+    """Label and title of every candidate in consistent form."""
+    c = table(spark, d, "candidates").select("accession_number", "sequence", "cand_no", "label_raw", "title")
+    return unify.unify_columns(c, ["label_raw", "title"])
+
+
 def queries():
-    return {f.__name__: f for f in (p7_ids, p8_pack, p8_report)}
+    return {f.__name__: f for f in (p3_found, p6_found, p6_unified, p7_ids, p8_pack, p8_report)}
 
 
 def oracle_sql():
