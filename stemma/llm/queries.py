@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stemma.llm import canonical, pack, tokenize, unify
+from stemma.llm import canonical, encoding, pack, tokenize, unify
 from stemma.session import table
 
 
@@ -20,6 +20,25 @@ def p8_report(spark, d):
     return pack.fill_report(p8_pack(spark, d))
 
 
+REC = ["rec_table", "accession_number", "sequence", "idx"]
+
+
+def _records(spark, d):
+    """Texts of blocks and submissions under one key."""
+    b = table(spark, d, "blocks").select(F.lit("blocks").alias("rec_table"), "accession_number", "sequence", "idx", "text")
+    s = table(spark, d, "submissions").select(F.lit("submissions").alias("rec_table"), "accession_number", F.lit(-1).alias("sequence"), F.lit(-1).alias("idx"), "text")
+    return b.unionByName(s)
+
+
+def p2_found(spark, d):
+    return encoding.affected(_records(spark, d), REC).select(*REC).distinct()
+
+
+def p2_restored(spark, d):
+    """Affected records with their restored text, the chains undone, and the number of characters lost."""
+    return encoding.affected(_records(spark, d), REC).distinct()
+
+
 def p3_found(spark, d):
     return canonical.map_records(table(spark, d, "candidates"), table(spark, d, "nodes"), table(spark, d, "label_reference"))
 
@@ -35,7 +54,7 @@ def p6_unified(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (p3_found, p6_found, p6_unified, p7_ids, p8_pack, p8_report)}
+    return {f.__name__: f for f in (p2_found, p2_restored, p3_found, p6_found, p6_unified, p7_ids, p8_pack, p8_report)}
 
 
 def oracle_sql():
