@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stemma.llm import canonical, encoding, pack, tokenize, unify
+from stemma.llm import canonical, encoding, markup, pack, tokenize, unify
 from stemma.session import table
 
 
@@ -43,6 +43,18 @@ def p3_found(spark, d):
     return canonical.map_records(table(spark, d, "candidates"), table(spark, d, "nodes"), table(spark, d, "label_reference"))
 
 
+BLOCK = ["accession_number", "sequence", "idx"]
+
+
+def p4_found(spark, d):
+    return markup.clean_texts(table(spark, d, "blocks"), BLOCK, only_marked=True).select(*BLOCK).distinct()
+
+
+def p4_clean(spark, d):
+    """Every block with its clean text and the kinds of markup found."""
+    return markup.clean_texts(table(spark, d, "blocks"), BLOCK).distinct()
+
+
 def p6_found(spark, d):
     return unify.odd_fields(table(spark, d, "candidates"), ["accession_number", "sequence", "cand_no"], ["label_raw", "title"])
 
@@ -54,7 +66,7 @@ def p6_unified(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (p2_found, p2_restored, p3_found, p6_found, p6_unified, p7_ids, p8_pack, p8_report)}
+    return {f.__name__: f for f in (p2_found, p2_restored, p3_found, p4_found, p4_clean, p6_found, p6_unified, p7_ids, p8_pack, p8_report)}
 
 
 def oracle_sql():
