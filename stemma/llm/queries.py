@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stemma.llm import canonical, encoding, markup, pack, tokenize, unify
+from stemma.llm import canonical, encoding, markup, pack, quality, tokenize, unify
 from stemma.session import table
 
 
@@ -65,9 +65,37 @@ def p6_unified(spark, d):
     return unify.unify_columns(c, ["label_raw", "title"])
 
 
+def p9_found(spark, d):
+    kinds = quality.assess(table(spark, d, "documents"), table(spark, d, "common_words"), ["doc_id"])
+    return kinds.where(F.col("kind").isin("list", "table", "junk")).select("doc_id").distinct()
+
+
+def p9_labels(spark, d):
+    """Shares of the line kinds and the kind of every document."""
+    kinds = quality.assess(table(spark, d, "documents"), table(spark, d, "common_words"), ["doc_id"])
+    return kinds.select("doc_id", *[f"{k}_share" for k in quality.KINDS], "kind")
+
+
+def p9_stats(spark, d):
+    """Text statistics of every document."""
+    return quality.assess(table(spark, d, "documents"), table(spark, d, "common_words"), ["doc_id"]).select("doc_id", *quality.STATS)
+
+
 def queries():
-    return {f.__name__: f for f in (p2_found, p2_restored, p3_found, p4_found, p4_clean, p6_found, p6_unified, p7_ids, p8_pack, p8_report)}
+    return {f.__name__: f for f in (p2_found, p2_restored, p3_found, p4_found, p4_clean, p6_found, p6_unified, p7_ids, p8_pack, p8_report, p9_found, p9_labels, p9_stats)}
+
+
+_STATS = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT list(lower(word)) AS known FROM common_words),
+c AS (SELECT doc_id, len(regexp_extract_all(t, '[^\t\n\x0b\f\r ]+')) AS n_words, length(regexp_replace(t, '[\t\n\x0b\f\r ]+', '', 'g')) AS n_chars,
+  length(regexp_replace(t, '[\pL\pN\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', '', 'g')) AS n_signs,
+  list_filter(string_split(t, chr(10)), lambda x: length(regexp_replace(x, '[\t\n\x0b\f\r ]+', '', 'g')) > 0) AS lines,
+  regexp_extract_all(lower(t), '\pL+') AS runs, known FROM d, w)
+SELECT doc_id, n_words::BIGINT AS n_words, CASE WHEN n_words > 0 THEN round(n_chars / n_words, 6) END AS mean_word_length,
+  CASE WHEN n_chars > 0 THEN round(n_signs / n_chars, 6) END AS symbol_ratio,
+  CASE WHEN len(lines) > 0 THEN round(len(list_filter(lines, lambda x: regexp_matches(x, '[.!?,;:][\t\x0b\f\r ]*$'))) / len(lines), 6) END AS stopped_line_share,
+  CASE WHEN len(runs) > 0 THEN round(len(list_filter(runs, lambda x: list_contains(known, x))) / len(runs), 6) END AS common_word_share FROM c"""
 
 
 def oracle_sql():
-    return {}
+    return {"p9_stats": _STATS}

@@ -147,6 +147,10 @@ _MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint
 
 def words64(padded: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Up to eight bytes from each position, as one little-endian number, zero beyond the length."""
+    if len(at) * 16 < len(padded):
+        # Few positions: gather just their bytes.
+        low = np.minimum(at, len(padded) - 8)
+        return padded[low[:, None] + np.arange(8)].view("<u8").ravel() & np.take(_MASK, np.minimum(length, 8))
     view = np.ndarray((len(padded) - 7,), "<u8", padded.data, 0, (1,))
     return np.take(view, at, mode="clip") & np.take(_MASK, np.minimum(length, 8))
 
