@@ -79,8 +79,8 @@ def keyword_cost(raw: str, kind: str) -> int | None:
     return cost if cost <= (1 if len(word) <= 2 else 3 if kind == "article" else 2) else None
 
 
-_ROMAN = re.compile(r"^M{0,3}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$")
-_VALUE = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
+_ROMAN = re.compile(r"^(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$")
+_VALUE = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100}
 
 
 def roman(s: str) -> int | None:

@@ -410,7 +410,7 @@ def _render(n: Node, out: list[str]) -> None:
     if name in ("td", "th"):
         out.append(" ")
     elif name in BLOCK:
-        out.append("\n\n" if name != "li" else "\n")
+        out.append("\n\n" if name != "li" else "")
 
 
 _SIGNS = re.compile(MAY_HOLD)
