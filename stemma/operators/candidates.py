@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DOC = ["accession_number", "sequence"]
-# What style adds to a candidate's score, in the order in which the rules fire.
-STYLE = [("sty.bold", 0.15), ("sty.underline", 0.15), ("sty.caps", 0.15), ("sty.center", 0.05), ("sty.font_size", 0.10), ("pos.blank_before", 0.05), ("pos.short_block", 0.10), ("pub.comment_marker", 0.20), ("pos.in_table", -0.10), ("pos.deep_indent", -0.05)]
-CAPS_FROM, LARGER_FROM, SHORT_CHARS, DEEP_INDENT = 0.85, 1.1, 120, 12
+# What style adds to a candidate's score, in the order in which the rules fire, and the bounds of the rules.
+STYLE = [("sty.bold", 0.15), ("sty.underline", 0.15), ("sty.caps", 0.15), ("sty.center", 0.05), ("sty.font_size", 0.10), ("pos.short_block", 0.10), ("pos.in_table", -0.10), ("pub.comment_marker", 0.20)]
+BLANK_BEFORE = 0.05  # scored, but no rule
+CAPS_FROM, CAPS_CHARS, LARGER_FROM, SHORT_LINES, SHORT_CHARS = 0.85, 6, 1.05, 3, 220
 STYLED = ["sty.bold", "sty.caps", "sty.underline", "sty.font_size"]
 GAP_BLOCKS, RUN_LEAST = 4, 4
 DUPLICATE_MARGIN = 0.3
@@ -16,24 +17,23 @@ DUPLICATE_MARGIN = 0.3
 
 def _rules() -> list[tuple[str, float, Column]]:
     f = lambda c: F.coalesce(F.col(c), F.lit(False))
+    lines = F.split("text", "\n", -1)
     tests = {
         "sty.bold": f("bold"),
         "sty.underline": f("underline"),
-        "sty.caps": F.coalesce(F.col("caps_ratio") >= CAPS_FROM, F.lit(False)),
+        "sty.caps": F.coalesce((F.col("caps_ratio") >= CAPS_FROM) & (F.length(lines[0]) >= CAPS_CHARS), F.lit(False)),
         "sty.center": f("center"),
-        "sty.font_size": F.coalesce(F.col("font_size_rel") >= LARGER_FROM, F.lit(False)),
-        "pos.blank_before": f("blank_before"),
-        "pos.short_block": F.coalesce(F.length("text") <= SHORT_CHARS, F.lit(False)),
-        "pub.comment_marker": F.coalesce(F.length("preceding_comment") > 0, F.lit(False)),
+        "sty.font_size": F.coalesce(F.col("font_size_rel") > LARGER_FROM, F.lit(False)),
+        "pos.short_block": F.coalesce((F.size(lines) <= SHORT_LINES) & (F.length("text") <= SHORT_CHARS), F.lit(False)),
         "pos.in_table": f("in_table"),
-        "pos.deep_indent": F.coalesce(F.col("indent") > DEEP_INDENT, F.lit(False)),
+        "pub.comment_marker": F.coalesce(F.col("preceding_comment").rlike("(?i)item|part"), F.lit(False)),
     }
     return [(k, v, tests[k]) for k, v in STYLE]
 
 
 def style_scores(blocks: DataFrame, keep: list[str], base: float = 0.5) -> DataFrame:
     """Base score plus what each style rule that fires adds, and the ids of those rules in firing order."""
-    total = F.lit(base)
+    total = F.lit(base) + F.when(F.coalesce(F.col("blank_before"), F.lit(False)), BLANK_BEFORE).otherwise(0.0)
     for _, delta, test in _rules():
         total = total + F.when(test, delta).otherwise(0.0)
     ids = F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, _, t in _rules()]))

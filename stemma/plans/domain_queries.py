@@ -311,14 +311,14 @@ def parts_of_items(spark, d):
 # ---------------------------------------------------------------- candidates
 
 
-@query("""WITH b AS (SELECT DISTINCT accession_number, sequence, idx, text, bold, underline, caps_ratio, center, font_size_rel, blank_before, preceding_comment, in_table, indent FROM blocks),
-f AS (SELECT *, coalesce(bold, false) AS f1, coalesce(underline, false) AS f2, coalesce(caps_ratio >= 0.85, false) AS f3, coalesce(center, false) AS f4, coalesce(font_size_rel >= 1.1, false) AS f5, coalesce(blank_before, false) AS f6, coalesce(length(text) <= 120, false) AS f7,
-coalesce(length(preceding_comment) > 0, false) AS f8, coalesce(in_table, false) AS f9, coalesce(indent > 12, false) AS f10 FROM b)
-SELECT accession_number, sequence, idx, round(0.5 + f1::INT * 0.15 + f2::INT * 0.15 + f3::INT * 0.15 + f4::INT * 0.05 + f5::INT * 0.1 + f6::INT * 0.05 + f7::INT * 0.1 + f8::INT * 0.2 - f9::INT * 0.1 - f10::INT * 0.05, 3)::DOUBLE AS style_score,
-concat_ws(' ', CASE WHEN f1 THEN 'sty.bold' END, CASE WHEN f2 THEN 'sty.underline' END, CASE WHEN f3 THEN 'sty.caps' END, CASE WHEN f4 THEN 'sty.center' END, CASE WHEN f5 THEN 'sty.font_size' END, CASE WHEN f6 THEN 'pos.blank_before' END, CASE WHEN f7 THEN 'pos.short_block' END,
-CASE WHEN f8 THEN 'pub.comment_marker' END, CASE WHEN f9 THEN 'pos.in_table' END, CASE WHEN f10 THEN 'pos.deep_indent' END) AS style_rules FROM f""")
+@query("""WITH b AS (SELECT DISTINCT accession_number, sequence, idx, text, bold, underline, caps_ratio, center, font_size_rel, blank_before, preceding_comment, in_table FROM blocks),
+f AS (SELECT *, coalesce(bold, false) AS f1, coalesce(underline, false) AS f2, coalesce(caps_ratio >= 0.85 AND length(split_part(text, chr(10), 1)) >= 6, false) AS f3, coalesce(center, false) AS f4, coalesce(font_size_rel > 1.05, false) AS f5,
+coalesce(len(string_split(text, chr(10))) <= 3 AND length(text) <= 220, false) AS f6, coalesce(in_table, false) AS f7, coalesce(regexp_matches(preceding_comment, '(?i)item|part'), false) AS f8 FROM b)
+SELECT accession_number, sequence, idx, round(0.5 + coalesce(blank_before, false)::INT * 0.05 + f1::INT * 0.15 + f2::INT * 0.15 + f3::INT * 0.15 + f4::INT * 0.05 + f5::INT * 0.1 + f6::INT * 0.1 - f7::INT * 0.1 + f8::INT * 0.2, 3)::DOUBLE AS style_score,
+concat_ws(' ', CASE WHEN f1 THEN 'sty.bold' END, CASE WHEN f2 THEN 'sty.underline' END, CASE WHEN f3 THEN 'sty.caps' END, CASE WHEN f4 THEN 'sty.center' END, CASE WHEN f5 THEN 'sty.font_size' END, CASE WHEN f6 THEN 'pos.short_block' END,
+CASE WHEN f7 THEN 'pos.in_table' END, CASE WHEN f8 THEN 'pub.comment_marker' END) AS style_rules FROM f""")
 def style_scores(spark, d):
-    cols = [*DOC, "idx", "text", "bold", "underline", "caps_ratio", "center", "font_size_rel", "blank_before", "preceding_comment", "in_table", "indent"]
+    cols = [*DOC, "idx", "text", "bold", "underline", "caps_ratio", "center", "font_size_rel", "blank_before", "preceding_comment", "in_table"]
     return C.style_scores(table(spark, d, "blocks").select(*cols).distinct(), [*DOC, "idx"])
 
 
@@ -567,3 +567,53 @@ SELECT c.accession_number, c.sequence, c.head_raw_start, CASE WHEN n.accession_n
 def candidate_fates(spark, d):
     c = table(spark, d, "candidates")
     return A.anchor_status(c.select(*DOC, "head_raw_start").distinct(), table(spark, d, "nodes"), c, "head_raw_start")
+
+
+# ---------------------------------------------------------------- parsing
+
+
+def _submissions(spark, d):
+    s = table(spark, d, "submissions").groupBy("accession_number").agg(F.max("cik").alias("cik"), F.max("text").alias("text"))
+    return s.join(_years(spark, d).select("accession_number", F.col("filed_year").alias("year")), "accession_number", "left")
+
+
+@query(None)
+def parse_nodes(spark, d):
+    from stemma.parse import pipeline
+
+    return pipeline.table_of(pipeline.parse_submissions(_submissions(spark, d)), "nodes")
+
+
+@query(None)
+def parse_documents(spark, d):
+    from stemma.parse import pipeline
+
+    return pipeline.table_of(pipeline.parse_submissions(_submissions(spark, d)), "documents")
+
+
+@query(None)
+def parse_rejected(spark, d):
+    from stemma.parse import pipeline
+
+    return pipeline.table_of(pipeline.parse_submissions(_submissions(spark, d)), "rejected")
+
+
+_HEAD = "<SEC-HEADER>\nCONFORMED SUBMISSION TYPE: 10-K\n</SEC-HEADER>\n<DOCUMENT>\n<TYPE>10-K\n<SEQUENCE>1\n<TEXT>\n"
+_ONE, _TWO, _SEVEN = "PART I\n\nITEM 1. BUSINESS\n\n", "\n\nITEM 2. PROPERTIES\n\n", "\n\nPART II\n\nITEM 7. MANAGEMENT'S DISCUSSION AND ANALYSIS\n\n"
+_TAIL = "\n</TEXT>\n</DOCUMENT>\n"
+
+
+@query(f"""WITH f AS (SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL), o AS (SELECT *, {len(_HEAD)} AS h FROM f)
+SELECT doc_id, 'ITEM 1' AS label, (h + 8)::BIGINT AS raw_start, (h + {len(_ONE) + 2} + n)::BIGINT AS raw_end FROM o
+UNION ALL SELECT doc_id, 'ITEM 2', h + {len(_ONE) + 2} + n, h + {len(_ONE) + len(_TWO) + 2} + n + 5 FROM o
+UNION ALL SELECT doc_id, 'ITEM 7', h + {len(_ONE) + len(_TWO) + 5 + 11} + n, h + {len(_ONE) + len(_TWO) + len(_SEVEN) + 5 + 8} + n FROM o""")
+def recovered_items(spark, d):
+    """Filings built around every document; the parse must find the items where the construction put them."""
+    from stemma.parse import pipeline
+
+    docs = table(spark, d, "documents").where("text is not null")
+    # A text that looks like HTML would be read as HTML: its opening brackets are exchanged, lengths stay.
+    text = F.concat(F.lit(_HEAD), F.lit(_ONE), F.translate("text", "<", "("), F.lit(_TWO), F.lit("None."), F.lit(_SEVEN), F.lit("Steady."), F.lit(_TAIL))
+    s = docs.select(F.col("doc_id").cast("string").alias("accession_number"), F.lit(None).cast("string").alias("cik"), F.lit(2005).alias("year"), text.alias("text"))
+    n = pipeline.table_of(pipeline.parse_submissions(s), "nodes").where("level_kind = 'item'")
+    return n.select(F.col("accession_number").cast("long").alias("doc_id"), F.col("label_canon").alias("label"), "raw_start", "raw_end")
