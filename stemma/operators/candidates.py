@@ -99,4 +99,4 @@ def best_unclaimed(c: DataFrame, nodes: DataFrame) -> DataFrame:
     x = c.withColumn("label", label).where("label is not null and kind in ('item', 'part', 'article')")
     taken = nodes.where("label_raw is not null").select(*DOC, F.upper(F.trim("label_raw")).alias("label")).distinct()
     w = Window.partitionBy(*DOC, "label").orderBy(F.col("score").desc_nulls_last(), "head_raw_start", "cand_no")
-    return x.join(taken, [*DOC, "label"], "left_anti").withColumn("r", F.row_number().over(w)).where("r = 1").select(*DOC, "label", "cand_no", "score")
+    return x.join(taken, [*DOC, "label"], "left_anti").withColumn("r", F.row_number().over(w)).where("r = 1").select(*DOC, "label", "cand_no", F.round(F.col("score").cast("double"), 6).alias("score"))

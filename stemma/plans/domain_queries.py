@@ -373,7 +373,7 @@ def strong_duplicates(spark, d):
 
 @query(f"""WITH {_C}, x AS (SELECT *, upper(trim(label_raw)) AS label FROM c WHERE label_raw IS NOT NULL AND kind IN ('item', 'part', 'article')),
 n AS (SELECT DISTINCT accession_number, sequence, upper(trim(label_raw)) AS label FROM nodes WHERE label_raw IS NOT NULL)
-SELECT accession_number, sequence, label, cand_no, score FROM x ANTI JOIN n USING (accession_number, sequence, label) QUALIFY row_number() OVER (PARTITION BY accession_number, sequence, label ORDER BY score DESC NULLS LAST, head_raw_start, cand_no) = 1""")
+SELECT accession_number, sequence, label, cand_no, round(score::DOUBLE, 6) AS score FROM x ANTI JOIN n USING (accession_number, sequence, label) QUALIFY row_number() OVER (PARTITION BY accession_number, sequence, label ORDER BY score DESC NULLS LAST, head_raw_start, cand_no) = 1""")
 def best_unclaimed(spark, d):
     return C.best_unclaimed(_t(spark, d, "candidates"), table(spark, d, "nodes"))
 
