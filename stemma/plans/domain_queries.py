@@ -617,3 +617,61 @@ def recovered_items(spark, d):
     s = docs.select(F.col("doc_id").cast("string").alias("accession_number"), F.lit(None).cast("string").alias("cik"), F.lit(2005).alias("year"), text.alias("text"))
     n = pipeline.table_of(pipeline.parse_submissions(s), "nodes").where("level_kind = 'item'")
     return n.select(F.col("accession_number").cast("long").alias("doc_id"), F.col("label_canon").alias("label"), "raw_start", "raw_end")
+
+
+# ---------------------------------------------------------------- blocks
+
+_B = "b AS (SELECT DISTINCT accession_number, sequence, idx, text, is_page_break, caps_ratio, norm_start, norm_end, raw_start, raw_end FROM blocks)"
+
+
+def _blocks(spark, d):
+    return table(spark, d, "blocks").select(*DOC, "idx", "text", "is_page_break", "caps_ratio", "norm_start", "norm_end", "raw_start", "raw_end").distinct()
+
+
+@query(rf"""WITH {_B}, x AS (SELECT *, coalesce(is_page_break, false)::INT AS brk, CASE WHEN coalesce(is_page_break, false) OR coalesce(regexp_matches(text, '(?i)^\s*(-\s*\d+\s*-|page\s+\d+|\d{{1,3}}|[ivx]{{1,5}})\s*$'), true) THEN 0 ELSE length(text) END AS size FROM b),
+y AS (SELECT *, coalesce(sum(brk) OVER (PARTITION BY accession_number, sequence ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS page FROM x)
+SELECT accession_number, sequence, idx, CASE WHEN page > 0 THEN coalesce(sum(size) OVER (PARTITION BY accession_number, sequence, page ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END::BIGINT AS distance FROM y""")
+def page_distances(spark, d):
+    from stemma.operators import blocks as B
+
+    return B.page_distance(_blocks(spark, d))
+
+
+@query(rf"""WITH {_B} SELECT accession_number, sequence, idx, idx - max(CASE WHEN regexp_matches(text, '\b(AGREEMENT|GUARANTY|GUARANTEE|MORTGAGE|INDENTURE|NOTE|PLEDGE|LEASE|WARRANT|DEED|CONTRACT|DEBENTURE|SUPPLEMENT|AMENDMENT|ASSIGNMENT|CERTIFICATE|INSTRUMENT)\b') THEN idx END)
+OVER (PARTITION BY accession_number, sequence ORDER BY idx ROWS BETWEEN 60 PRECEDING AND CURRENT ROW) AS back FROM b""")
+def instrument_distance(spark, d):
+    from stemma.operators import blocks as B
+
+    return B.evidence_before(_blocks(spark, d), B.INSTRUMENT)
+
+
+@query(rf"""WITH {_B} SELECT accession_number, sequence, idx, coalesce(sum(coalesce(regexp_matches(text, '(?i)dividends|net sales'), false)::INT) OVER (PARTITION BY accession_number, sequence ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 6000 FOLLOWING), 0)::BIGINT AS n_after FROM b""")
+def evidence_after(spark, d):
+    from stemma.operators import blocks as B
+
+    return B.evidence_after(_blocks(spark, d), "(?i)dividends|net sales")
+
+
+@query(rf"""WITH {_B}, x AS (SELECT *, max(norm_end) OVER (PARTITION BY accession_number, sequence) AS top FROM b)
+SELECT accession_number, sequence, min(idx) AS idx, min(raw_start) AS back_start FROM x WHERE regexp_matches(text, '(?i)^\s*(signatures?|signature pages?|power of attorney|exhibits?\s+index|index\s+(to|of)\s+exhibits?|list\s+of\s+exhibits?|in witness whereof)\b') AND norm_start * 2 >= top GROUP BY 1, 2""")
+def back_heads(spark, d):
+    from stemma.operators import blocks as B
+
+    return B.first_back_heads(_blocks(spark, d))
+
+
+@query(rf"""WITH {_B} SELECT accession_number, sequence, idx, coalesce(sum(coalesce(length(text) > 200 AND regexp_matches(text, '[a-z]{{3,}}\s+[a-z]{{3,}}\s+[a-z]{{3,}}'), false)::INT) OVER (PARTITION BY accession_number, sequence ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prose_before FROM b""")
+def prose_prefix(spark, d):
+    from stemma.operators import blocks as B
+
+    return B.prose_blocks_between(_blocks(spark, d))
+
+
+@query(f"""WITH {_B}, c AS (SELECT DISTINCT accession_number, sequence, cand_no, norm_start AS p FROM candidates WHERE norm_start IS NOT NULL), s AS (SELECT accession_number, sequence, norm_start, max({{'n': norm_start, 'r': raw_start, 'e': raw_end}}) AS seg FROM b WHERE norm_start IS NOT NULL GROUP BY 1, 2, 3),
+j AS (SELECT c.accession_number, c.sequence, c.cand_no, c.p, arg_max(s.seg, s.norm_start) AS seg FROM c LEFT JOIN s ON s.accession_number = c.accession_number AND s.sequence = c.sequence AND s.norm_start <= c.p GROUP BY 1, 2, 3, 4)
+SELECT accession_number, sequence, cand_no, CASE WHEN seg IS NOT NULL THEN least(seg.r + p - seg.n, seg.e) END AS raw FROM j""")
+def norm_to_raw(spark, d):
+    from stemma.operators import blocks as B
+
+    c = table(spark, d, "candidates").select(*DOC, "cand_no", F.col("norm_start").alias("p")).where("p is not null").distinct()
+    return B.norm_to_raw(c, _blocks(spark, d).where("norm_start is not null"), "p").select(*DOC, "cand_no", "raw")
