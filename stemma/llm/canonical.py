@@ -32,6 +32,8 @@ from stemma.llm.unify import unify_columns
 MAX_REFERENCE = 10_000
 TITLE_SIMILARITY = 0.34
 LABEL_SIMILARITY = 0.6
+#: What is longer is no label.
+LABEL_CHARS = 200
 
 # Number words, stop words, and the short forms found in headings.
 WORD_NUMBERS = {w: n for n, w in enumerate("ONE TWO THREE FOUR FIVE SIX SEVEN EIGHT NINE TEN ELEVEN TWELVE THIRTEEN FOURTEEN FIFTEEN SIXTEEN SEVENTEEN EIGHTEEN NINETEEN TWENTY".split(), 1)}
@@ -192,6 +194,8 @@ _IN_BRACKETS = re.compile(r"^(.*?)\s*\(([^()]{3,})\)*$")
 def read_label(value: str, kind: str) -> tuple | None:
     """(keyword, part or None, number, letter) that a typed label names; None if it names none."""
     s = re.sub(r"\s+", " ", value).strip()
+    if len(s) > LABEL_CHARS:
+        return None
     s = re.sub(r"[.:\-–—)\s]+$", "", s) if kind != "item" else s.strip()
     if kind != "item":
         got = _headed(s, kind, _plain_number)

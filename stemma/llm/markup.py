@@ -57,8 +57,8 @@ INLINE_MARKS = [
     ("note", re.compile(r"\[\^[\w-]+\]:?")),
     ("code", re.compile(r"`+([^`\n]+)`+")),
     ("code", re.compile(r"`()")),
-    ("bold", re.compile(r"(?<![\w*])\*{2,3}(?=[^\s*])([^\n]*?[^\s*])\*{2,3}(?![\w*])")),
-    ("bold", re.compile(r"(?<![\w_])__(?=[^\s_])([^\n]*?[^\s_])__(?![\w_])")),
+    ("bold", re.compile(r"(?<![\w*])\*{2,3}(?=[^\s*])([^\n]{0,600}?[^\s*])\*{2,3}(?![\w*])")),
+    ("bold", re.compile(r"(?<![\w_])__(?=[^\s_])([^\n]{0,600}?[^\s_])__(?![\w_])")),
     ("bold", re.compile(r"(?<![\w*])\*\*(?=[\w(“\"$§])()")),
     ("bold", re.compile(r"(?<=[\w.,;:)”\"])\*\*(?=[\s,.;:]|$)()(?=.*\w)")),
     ("bold", re.compile(r"(?<![\w_])__(?=[A-Za-z(“\"$§])()")),
@@ -70,7 +70,7 @@ INLINE_MARKS = [
     ("wiki link", re.compile(r"\[(?:https?|ftp)://\S+\s*([^\]\n]*)(?:\]|$)")),
     ("wiki note", re.compile(r"\{\{[^{}]*(?:\}\}|$)()")),
     ("wiki note", re.compile(r"^[^{}\n]{0,30}\}\}()")),
-    ("wiki bold", re.compile(r"'{2,5}(?=[^\s'])([^\n]*?[^\s'])'{2,5}")),
+    ("wiki bold", re.compile(r"'{2,5}(?=[^\s'])([^\n]{0,600}?[^\s'])'{2,5}")),
     ("wiki bold", re.compile(r"'{2,5}()(?=\S)|(?<=\S)'{2,5}()")),
 ]
 WIKI_HEADING = re.compile(r"^\s*(={2,6})\s*([^=\s](?:[^\n]*?[^=\s])?)\s*(={1,6})\s*$|^\s*(={2,6})\s+([A-Za-z(][^=\n]*)$|^([A-Za-z(][^=\n]*?)\s*={2,6}\s*$")
@@ -82,6 +82,9 @@ TEX_WORD = re.compile(r"\\(item|hline|par|noindent|centering|newline|newpage|cle
 TEX_HEADINGS = {"part": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4}
 TEX_DROPPED = {"label", "ref", "cite", "vspace", "hspace", "pagestyle", "usepackage", "documentclass", "includegraphics", "footnotemark"}
 
+#: Elements nested deeper than this are hung at this depth; nothing of their text is lost.
+MAX_NESTING = 120
+
 #: A text without any of these signs holds no markup.
 MAY_HOLD = r"[<>&\\{}\[\]`#*_=|~$]|''"
 
@@ -131,6 +134,7 @@ class Parser:
         self.kinds: set[str] = set()
         self.root = Node("root", None)
         self.at = self.root
+        self.depth = {self.root: 0}
         self._html(text)
 
     # HTML, the outermost layer
@@ -160,7 +164,8 @@ class Parser:
                 if name in BLOCK and self.at.name in ("p", "li", "td", "th", "tr") and name in ("p", "li", "tr", "td", "th"):
                     self._close_open(name)
                 n = self.at.add(name, m[3] or m[8] or "")
-                if name not in VOID and not m[0].endswith("/>"):
+                level = self.depth[n] = self.depth[self.at] + 1
+                if name not in VOID and not m[0].endswith("/>") and level < MAX_NESTING:
                     self.at = n
         self._text(s[last:])
 

@@ -149,6 +149,16 @@ def test_menus_are_dropped():
     assert "Home page" not in got and got.count("The tenant pays") == 15
 
 
+@pytest.mark.parametrize("text", ["<b>" * 5000 + "x", "**a " * 20_000, "__a " * 20_000, "''a " * 20_000, "<a href=\"" * 3000, "<" * 50_000, "&lt;p&gt;" * 5000, "a <b " * 5000])
+def test_very_long_and_deep_texts(text):
+    got, kinds = markup.clean(text)
+    assert got is not None
+
+
+def test_long_label_is_none():
+    assert canonical.read_label("Item (" * 2000, "item") is None
+
+
 def test_clean_texts(spark):
     df = spark.createDataFrame([(1, None, "m"), (2, "", "m"), (3, "<b>x</b>", "m"), (4, "plain", "m")], "k int, text string, markup string")
     assert {r["k"]: r["clean_text"] for r in markup.clean_texts(df, ["k"]).collect()} == {1: None, 2: "", 3: "x", 4: "plain"}
