@@ -57,7 +57,7 @@ def main(argv: list[str] | None = None) -> None:
         analytics.label_changes(read(a.run_a, "nodes"), read(a.run_b, "nodes")).groupBy("change").count().show()
         analytics.meta_moves(read(a.run_a, "nodes"), read(a.run_b, "nodes")).show()
     elif a.command in ("hashes", "verify"):
-        h = analytics.document_hashes(read(a.run, "nodes").drop("year")).join(read(a.run, "documents").select("accession_number", "sequence", "input_sha256"), ["accession_number", "sequence"])
+        h = analytics.document_hashes(read(a.run, "nodes").drop("year"), rejected=read(a.run, "rejected").drop("year"), documents=read(a.run, "documents"))
         if a.command == "hashes":
             h.write.mode("overwrite").parquet(a.out)
         else:

@@ -157,22 +157,43 @@ def _canonical(row: dict) -> str:
     return json.dumps({k: plain(v) for k, v in row.items() if k not in VERSIONS}, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
 
 
-def document_hashes(nodes: DataFrame, key: list[str] = DOC, order: str = "node_id") -> DataFrame:
-    """SHA-256 of the canonical rows of each document, whatever order and version they come in.
+def _row_hashes(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The given columns of every row with ``h``, the SHA-256 of its canonical form."""
+    cols = rows.columns
 
-    Rows are hashed where they are; only the hashes of a document's rows meet, in order of the node.
-    """
-    cols = nodes.columns
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = [hashlib.sha256(_canonical(r).encode()).hexdigest() for r in b.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[b.column(cols.index(k)) for k in [*key, order]], pa.array(h, pa.string())], names=[*key, order, "h"])
+            yield pa.RecordBatch.from_arrays([*[b.column(cols.index(k)) for k in columns], pa.array(h, pa.string())], names=[*columns, "h"])
+
+    schema = ", ".join([*[f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in columns], "h string"])
+    return rows.mapInArrow(each, schema)
 
-    schema = ", ".join([*[f"`{k}` {nodes.schema[k].dataType.simpleString()}" for k in [*key, order]], "h string"])
-    each = nodes.mapInArrow(rows, schema).distinct()
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "h"))), lambda x: x["h"]), "\n")
-    return each.groupBy(*key).agg(F.sha2(lines, 256).alias("output_sha256"), F.count("*").alias("n_nodes"))
+
+def document_hashes(nodes: DataFrame, key: list[str] = DOC, order: str = "node_id", rejected: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
+    """SHA-256 of the canonical node rows and then the rejected rows of each document, whatever order and version they come in.
+
+    Rows are hashed where they are; only the hashes of a document's rows meet, nodes in order of the node (copies
+    count once), rejected rows in order of their hash (copies count).  With ``documents`` there is one row per row of
+    it, with its input_sha256 and input_bytes: the output hash is null where error is set, and that of no rows where
+    nothing was found; rows of a document that isn't there are an error.
+    """
+    kind = nodes.schema[order].dataType
+    each = _row_hashes(nodes, [*key, order]).distinct().select(*key, F.lit(0).alias("side"), F.col(order).alias("o"), "h")
+    if rejected is not None:
+        each = each.unionByName(_row_hashes(rejected, key).select(*key, F.lit(1).alias("side"), F.lit(None).cast(kind).alias("o"), "h"))
+    g = each.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("side", "o", "h"))).alias("rows"))
+    if documents is None:
+        known, about = g, []
+    else:
+        about = [c for c in ("input_sha256", "input_bytes") if c in documents.columns]
+        known = documents.select(*key, *about, "error", F.lit(True).alias("there")).join(g, key, "full_outer")
+    part = lambda side: F.transform(F.filter(F.coalesce("rows", F.array().cast(g.schema["rows"].dataType)), lambda x: x["side"] == side), lambda x: x["h"])
+    digest = F.sha2(F.array_join(F.concat(F.array(F.lit("nodes")), part(0), F.array(F.lit("rejected")), part(1)), "\n"), 256)
+    if documents is not None:
+        stray = F.raise_error(F.concat(F.lit("rows of a document that is not in documents: "), F.concat_ws(" ", *key))).cast("string")
+        digest = F.when(F.col("there").isNull(), stray).when(F.col("error").isNull(), digest)
+    return known.select(*key, *about, digest.alias("output_sha256"), F.size(part(0)).cast("long").alias("n_nodes"), F.size(part(1)).cast("long").alias("n_rejected"))
 
 
 def facets(df: DataFrame, columns: list[str], chosen: dict[str, list]) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,17 +70,21 @@ def inject_markers(df: DataFrame, key: list[str], payload: str = "payload", plac
 def verify(expected: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
     """Counters of a verification: rows, missing inputs, inputs and outputs that differ, and whether all is well.
 
-    Both sides have input_sha256 and output_sha256; a missing input is reported but is no failure.
+    Both sides have input_sha256 and output_sha256; a missing input is reported but is no failure.  A document that was
+    found without an output hash (its parse failed) is an output that differs.
     """
-    f = found.select(*key, F.col("input_sha256").alias("fi"), F.col("output_sha256").alias("fo"))
-    x = expected.join(f, key, "left")
-    gone = F.col("fi").isNull()
+    f = found.select(*key, F.col("input_sha256").alias("fi"), F.col("output_sha256").alias("fo"), F.lit(True).alias("there"))
+    e = expected.select(*[F.col(k).alias(f"e_{k}") for k in key], "input_sha256", "output_sha256")
+    x = e.join(f, reduce(and_, [F.col(f"e_{k}").eqNullSafe(F.col(k)) for k in key]), "left")
+    gone = F.col("there").isNull()
+    read = ~gone & F.col("fi").eqNullSafe(F.col("input_sha256"))
+    same = F.coalesce(F.col("fo") == F.col("output_sha256"), F.lit(False))
     out = x.agg(
         F.count("*").alias("n"),
         F.count_if(gone).alias("n_missing"),
-        F.count_if(~gone & (F.col("fi") != F.col("input_sha256"))).alias("n_inputs_differ"),
-        F.count_if(~gone & (F.col("fi") == F.col("input_sha256")) & (F.col("fo") != F.col("output_sha256"))).alias("n_outputs_differ"),
-        F.count_if(~gone & (F.col("fi") == F.col("input_sha256")) & (F.col("fo") == F.col("output_sha256"))).alias("n_equal"),
+        F.count_if(~gone & ~read).alias("n_inputs_differ"),
+        F.count_if(read & ~same).alias("n_outputs_differ"),
+        F.count_if(read & same).alias("n_equal"),
     )
     return out.withColumn("ok", (F.col("n_inputs_differ") == 0) & (F.col("n_outputs_differ") == 0))
 

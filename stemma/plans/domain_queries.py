@@ -12,7 +12,7 @@ from stemma.operators import profile as P
 from stemma.operators import tree as T
 from stemma.sources import manifest as M
 from stemma.sources import sgml as S
-from stemma.session import table
+from stemma.session import materialize, table
 
 DOC = ["accession_number", "sequence"]
 QUERIES: dict = {}
@@ -511,6 +511,16 @@ def document_hashes(spark, d):
     return A.document_hashes(table(spark, d, "nodes"))
 
 
+@query(None)
+def run_hashes(spark, d):
+    """Hashes of a whole run: node rows and rejected rows of every document of the parsed submissions."""
+    from stemma.parse import pipeline
+
+    parsed = materialize(pipeline.parse_submissions(_submissions(spark, d)), "parsed").df
+    t = lambda name: pipeline.table_of(parsed, name)
+    return A.document_hashes(t("nodes"), rejected=t("rejected"), documents=t("documents"))
+
+
 @query("""WITH a AS (SELECT DISTINCT accession AS accession_number, sha256 AS ha FROM fetch_log WHERE n_bytes > 0), b AS (SELECT DISTINCT accession_number, input_sha256 AS hb FROM submissions),
 j AS (SELECT a.accession_number AS ka, b.accession_number AS kb, ha, hb FROM a FULL JOIN b ON a.accession_number = b.accession_number)
 SELECT CASE WHEN kb IS NULL THEN 'only_left' WHEN ka IS NULL THEN 'only_right' WHEN ha IS NULL OR hb IS NULL THEN 'unknown' WHEN ha = hb THEN 'equal' ELSE 'differs' END AS state, count(*) AS n FROM j GROUP BY 1""")

@@ -134,6 +134,27 @@ def test_document_hashes_ignore_order_and_versions(spark):
     assert a == b and a
 
 
+def test_hashes_cover_rejected_and_failed(spark):
+    n = spark.createDataFrame([("a", 1, 0, "x"), ("a", 1, 1, "y")], "accession_number string, sequence int, node_id int, title string")
+    rej = "accession_number string, sequence int, raw_start long, reason string"
+    docs = spark.createDataFrame([("a", 1, "i", 3, None), ("b", 1, "i", 3, None), ("c", None, "i", 3, "broken")], "accession_number string, sequence int, input_sha256 string, input_bytes long, error string")
+    run = lambda *r: analytics.document_hashes(n, rejected=spark.createDataFrame(list(r), rej), documents=docs)
+    by = lambda h: {r["accession_number"]: r for r in h.collect()}
+    p, q = ("a", 1, 5, "low"), ("a", 1, 9, "toc")
+    one, two = by(run(p, q)), by(run(q, p))
+    assert one == two and (one["a"]["n_nodes"], one["a"]["n_rejected"]) == (2, 2)
+    others = [by(run(*r))["a"]["output_sha256"] for r in ((p,), (p, p, q), (p, ("a", 1, 9, "low")))]
+    assert len({one["a"]["output_sha256"], *others}) == 4
+    assert one["b"]["output_sha256"] and one["b"]["n_nodes"] == 0 and one["c"]["output_sha256"] is None
+    with pytest.raises(Exception, match="not in documents"):
+        run(p, ("z", 1, 1, "low")).collect()
+    good = run(p, q)
+    lost = analytics.document_hashes(n.limit(0), rejected=spark.createDataFrame([], rej), documents=docs.withColumn("error", F.lit("broken")))
+    ok, bad = (review.verify(good, x, ["accession_number", "sequence"]).first() for x in (good, lost))
+    assert (ok["n"], ok["n_missing"], ok["n_equal"], ok["n_outputs_differ"]) == (3, 0, 2, 1)
+    assert (bad["n_missing"], bad["n_outputs_differ"], bad["ok"]) == (0, 3, False)
+
+
 def test_score_places(spark):
     sch = "doc string, seq int, label string, at int"
     found = spark.createDataFrame([("d", 1, "A", 100), ("d", 1, "A", 400), ("d", 1, "B", 5)], sch)
