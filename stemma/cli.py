@@ -48,8 +48,10 @@ def main(argv: list[str] | None = None) -> None:
         rows["nodes"].orderBy("node_id").select("node_id", "parent_id", "level_kind", "label_canon", "title", "raw_start", "raw_end", "path_str").show(500, truncate=80)
         rows["rejected"].orderBy("raw_start").show(500, truncate=80)
     elif a.command == "report":
-        years = read(a.run, "documents").select("accession_number", "filed_year")
-        analytics.summarize(analytics.document_metrics(read(a.run, "nodes"), years), ["filed_year"]).orderBy("filed_year").show(200)
+        docs = read(a.run, "documents")
+        years = docs.select("accession_number", F.coalesce("filed_year", F.col("year").cast("int")).alias("filed_year"))
+        for quarterly in (False, True):
+            analytics.summarize(analytics.document_metrics(read(a.run, "nodes"), years, quarterly, docs), ["filed_year"]).orderBy("filed_year").show(200)
     elif a.command == "sections":
         texts = sgml.read_submissions(spark, a.raw).select("accession_number", "text")
         analytics.sections(read(a.run, "nodes"), a.labels, texts).write.mode("overwrite").parquet(a.out)

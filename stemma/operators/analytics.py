@@ -39,13 +39,30 @@ def sections(nodes: DataFrame, labels: list[str], texts: DataFrame | None = None
     return out.join(t, "accession_number").withColumn("section", F.substr(F.col("text"), (F.col("raw_start") + 1).cast("int"), n.cast("int"))).drop("text")
 
 
-def document_metrics(nodes: DataFrame, years: DataFrame, quarterly: bool = False) -> DataFrame:
+def _form_documents(nodes: DataFrame, grammar: str, documents: DataFrame | None) -> DataFrame:
+    """The distinct documents of a form's grammar: DOC, failed.  Those of ``documents`` too, if given, whether they have nodes or not.
+
+    An EX-13 is read with the 10-K grammar but is no form and owes no items: it counts only if it has some.
+    """
+    item = (F.col("level_kind") == "item") & F.col("label_canon").isNotNull()
+    x = nodes.where(F.col("grammar") == grammar).select(*DOC, "doc_type", F.lit(False).alias("failed"), item.alias("item"))
+    if documents is not None:
+        x = x.unionByName(documents.where(F.col("grammar") == grammar).select(*DOC, "doc_type", F.col("error").isNotNull().alias("failed"), F.lit(False).alias("item")))
+    g = x.groupBy(*DOC).agg(F.max("doc_type").alias("doc_type"), F.max("failed").alias("failed"), F.max("item").alias("item"))
+    return g.where(F.col("item") | ~F.coalesce(F.upper("doc_type").startswith("EX-13"), F.lit(False))).select(*DOC, "failed")
+
+
+def document_metrics(nodes: DataFrame, years: DataFrame, quarterly: bool = False, documents: DataFrame | None = None) -> DataFrame:
     """Completeness of every document against the items expected in its year.
 
-    ``years`` has accession_number and filed_year.  Columns: n_items, n_expected, n_missing, missing,
-    unexpected, in_order (first places rise with the items), tiny and huge items, complete.
+    ``years`` has accession_number and filed_year; ``documents``, the table of a run, adds documents without nodes and
+    those that failed.  Columns: n_items, n_expected, n_missing, missing, unexpected, in_order (first places rise with
+    the items; without items true unless the parse failed), tiny and huge items, complete.  Quarterly, the expected items are the required
+    ones; missing_omittable are those a filer may leave out, which are neither missing nor unexpected, and
+    complete_with_omissions says that a complete document left out some.
     """
-    k = item_keys(nodes.where(F.col("grammar") == ("form10q" if quarterly else "form10k")))
+    grammar = "form10q" if quarterly else "form10k"
+    k = item_keys(nodes.where(F.col("grammar") == grammar))
     first = k.groupBy(*DOC, "key").agg(F.min("raw_start").alias("at"), F.max(F.col("raw_end") - F.col("raw_start")).alias("size"))
     first = first.withColumn("ord", L.order_key(F.concat(F.lit("ITEM "), "key")))
     w = Window.partitionBy(*DOC).orderBy("ord", "key")
@@ -57,20 +74,32 @@ def document_metrics(nodes: DataFrame, years: DataFrame, quarterly: bool = False
         F.sum((F.col("size") < TINY).cast("int")).alias("n_tiny"),
         F.sum((F.col("size") > HUGE * F.col("doc_size")).cast("int")).alias("n_huge"),
     )
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"x.{c}")) for c in DOC]
+    x = _form_documents(nodes, grammar, documents).alias("d").join(x.alias("x"), same, "left").select(
+        *[F.col(f"d.{c}") for c in DOC],
+        "failed",
+        F.coalesce("found", F.array().cast("array<string>")).alias("found"),
+        F.coalesce("in_order", ~F.col("failed")).alias("in_order"),
+        F.coalesce("n_tiny", F.lit(0)).alias("n_tiny"),
+        F.coalesce("n_huge", F.lit(0)).alias("n_huge"),
+    )
     y = x.join(years.groupBy("accession_number").agg(F.min("filed_year").alias("filed_year")), "accession_number", "left")
     want = F.array_sort(L.expected_items(F.coalesce("filed_year", F.lit(0)), quarterly))
-    missing, extra = F.array_except(want, "found"), F.array_except("found", want)
+    may = F.array(*[F.lit(i) for i in L.OMITTABLE_10Q])
+    missing, extra, left_out = F.array_except(want, "found"), F.array_except("found", want), F.array_except(may, "found")
+    complete = (F.size(missing) == 0) & ~F.col("failed")
     return y.select(
         *DOC,
         "filed_year",
         F.size("found").alias("n_items"),
         F.size(want).alias("n_expected"),
         F.array_join(missing, ",").alias("missing"),
-        F.array_join(extra, ",").alias("unexpected"),
+        F.array_join(F.array_except(extra, may) if quarterly else extra, ",").alias("unexpected"),
         "in_order",
         F.col("n_tiny").cast("int").alias("n_tiny"),
         F.col("n_huge").cast("int").alias("n_huge"),
-        (F.size(missing) == 0).alias("complete"),
+        complete.alias("complete"),
+        *([F.array_join(left_out, ",").alias("missing_omittable"), (complete & (F.size(left_out) > 0)).alias("complete_with_omissions")] if quarterly else []),
     )
 
 

@@ -486,6 +486,24 @@ def metrics_by_year(spark, d):
     return A.summarize(A.document_metrics(_nodes(spark, d), _years(spark, d)), ["filed_year"])
 
 
+_METRICS_10Q = f"""{_N}, {_YEARS}, q AS (SELECT DISTINCT accession_number, sequence FROM n WHERE grammar = 'form10q'),
+k AS (SELECT accession_number, sequence, split_part(label_canon, ' ', 2) AS key, min(raw_start) AS at_, max(raw_end - raw_start) AS size, any_value(label_canon) AS label_canon FROM n WHERE level_kind = 'item' AND label_canon IS NOT NULL AND grammar = 'form10q' GROUP BY 1, 2, 3),
+o AS (SELECT *, ({_KEY}) AS ord FROM k), b AS (SELECT *, coalesce(at_ < lag(at_) OVER (PARTITION BY accession_number, sequence ORDER BY ord, key), false) AS back FROM o),
+z AS (SELECT accession_number, sequence, max(raw_end) - min(raw_start) AS doc_size FROM n GROUP BY 1, 2),
+g AS (SELECT accession_number, sequence, list_sort(list(key)) AS found, NOT bool_or(back) AS in_order, count(*) FILTER (size < 200) AS n_tiny, count(*) FILTER (size > 0.6 * doc_size) AS n_huge FROM b JOIN z USING (accession_number, sequence) GROUP BY 1, 2),
+w AS (SELECT q.accession_number, q.sequence, filed_year, coalesce(found, []::VARCHAR[]) AS found, coalesce(in_order, true) AS in_order, coalesce(n_tiny, 0) AS n_tiny, coalesce(n_huge, 0) AS n_huge, ['II.1','II.2','II.3','II.4','II.5'] AS may,
+ ['I.1','I.2','II.6'] || CASE WHEN filed_year >= 1998 THEN ['I.3'] ELSE [] END || CASE WHEN filed_year >= 2003 THEN ['I.4'] ELSE [] END || CASE WHEN filed_year >= 2006 THEN ['II.1A'] ELSE [] END AS want FROM q LEFT JOIN g USING (accession_number, sequence) LEFT JOIN y USING (accession_number)),
+v AS (SELECT *, list_filter(list_sort(want), lambda x: NOT list_contains(found, x)) AS gone, list_filter(may, lambda x: NOT list_contains(found, x)) AS left_out FROM w),
+metrics AS (SELECT accession_number, sequence, filed_year, len(found)::INTEGER AS n_items, len(want)::INTEGER AS n_expected, array_to_string(gone, ',') AS missing,
+array_to_string(list_filter(found, lambda x: NOT list_contains(want, x) AND NOT list_contains(may, x)), ',') AS unexpected, in_order, n_tiny::INTEGER AS n_tiny, n_huge::INTEGER AS n_huge, len(gone) = 0 AS complete,
+array_to_string(left_out, ',') AS missing_omittable, len(gone) = 0 AND len(left_out) > 0 AS complete_with_omissions FROM v)"""
+
+
+@query(f"WITH {_METRICS_10Q} SELECT * FROM metrics")
+def document_metrics_10q(spark, d):
+    return A.document_metrics(_nodes(spark, d), _years(spark, d), quarterly=True)
+
+
 @query(f"""WITH {_N}, {_YEARS}, k AS (SELECT accession_number, sequence, label_canon, count(*) AS c, min(raw_start) AS at_ FROM n WHERE level_kind = 'item' AND label_canon IN ('ITEM 1', 'ITEM 7', 'ITEM 8') GROUP BY 1, 2, 3),
 b AS (SELECT *, coalesce(at_ <= lag(at_) OVER (PARTITION BY accession_number, sequence ORDER BY label_canon), false) AS back FROM k), g AS (SELECT accession_number, sequence, count(*) = 3 AND max(c) = 1 AND NOT bool_or(back) AS ok FROM b GROUP BY 1, 2)
 SELECT filed_year, count(*) AS n_docs, sum(coalesce(ok, false)::INT)::BIGINT AS n_covered FROM (SELECT DISTINCT accession_number, sequence FROM n) LEFT JOIN g USING (accession_number, sequence) LEFT JOIN y USING (accession_number) GROUP BY 1""")

@@ -155,6 +155,24 @@ def test_hashes_cover_rejected_and_failed(spark):
     assert (bad["n_missing"], bad["n_outputs_differ"], bad["ok"]) == (0, 3, False)
 
 
+def test_metrics_count_every_document(spark):
+    sch = "accession_number string, sequence int, doc_type string, grammar string, level_kind string, label_canon string, covers_items array<string>, raw_start long, raw_end long"
+    tops = [(a, 1, t, g, "document", None, None, 0, 9000) for a, t, g in (("k0", "10-K", "form10k"), ("x0", "EX-13", "form10k"), ("q0", "10-Q", "form10q"), ("q1", "10-Q", "form10q"))]
+    items = [("q1", 1, "10-Q", "form10q", "item", f"ITEM {x}", None, 100 * i, 100 * i + 300) for i, x in enumerate(["I.1", "I.2", "I.3", "II.5", "II.6", "II.9"], 1)]
+    nodes = spark.createDataFrame([*tops, *items], sch)
+    years = spark.createDataFrame([(a, 2000) for a in ("k0", "x0", "q0", "q1", "e0")], "accession_number string, filed_year int")
+    docs = spark.createDataFrame([("e0", None, "10-K", "form10k", "broken"), ("k0", 1, "10-K", "form10k", None)], "accession_number string, sequence int, doc_type string, grammar string, error string")
+    of = lambda *more, **k: {r["accession_number"]: r for r in analytics.document_metrics(nodes, years, *more, **k).collect()}
+    assert set(of()) == {"k0"} and set(of(documents=docs)) == {"k0", "e0"}
+    for a, r in of(documents=docs).items():
+        assert (r["n_items"], r["complete"], r["in_order"]) == (0, False, a == "k0")
+    assert analytics.summarize(analytics.document_metrics(nodes, years, documents=docs), ["filed_year"]).where("filed_year = 2000").first()["n_docs"] == 2
+    q = of(True)
+    assert (q["q0"]["complete"], q["q0"]["missing"]) == (False, "I.1,I.2,I.3,II.6")
+    r = q["q1"]
+    assert (r["complete"], r["complete_with_omissions"], r["missing"], r["missing_omittable"], r["unexpected"]) == (True, True, "", "II.1,II.2,II.3,II.4", "II.9")
+
+
 def test_score_places(spark):
     sch = "doc string, seq int, label string, at int"
     found = spark.createDataFrame([("d", 1, "A", 100), ("d", 1, "A", 400), ("d", 1, "B", 5)], sch)
