@@ -197,3 +197,15 @@ def test_slices_do_not_change_features():
     whole = quality._batch_counts(texts, common)
     parts = [quality._batch_counts(texts.slice(i, 1), common) for i in range(len(texts))]
     assert np.array_equal(whole[0], np.concatenate([p[0] for p in parts], axis=1))
+
+
+def test_margin_sample_ignores_order(spark, monkeypatch):
+    monkeypatch.setattr(encoding, "VALIDATION_ROWS", 20)
+    texts = [f"a{chr(97 + i % 26)} caf\u00e9 {chr(0x3B1 + i % 20)}{chr(0x3B1 + i // 20)} z" for i in range(100)]
+
+    def sample(rows):
+        out = [b for part in (rows[:50], rows[50:]) for b in encoding._count(iter([pa.RecordBatch.from_pydict({"t": part[:7]}), pa.RecordBatch.from_pydict({"t": part[7:]})]))]
+        found = {(g, c) for b in out for k, g, _, c in zip(*(b.column(i).to_pylist() for i in range(4))) if k == 0}
+        return sorted(found)[:20]
+
+    assert sample(texts) == sample(texts[::-1]) and len(sample(texts)) == 20
