@@ -209,3 +209,11 @@ def test_margin_sample_ignores_order(spark, monkeypatch):
         return sorted(found)[:20]
 
     assert sample(texts) == sample(texts[::-1]) and len(sample(texts)) == 20
+
+
+def test_named_references_with_digits():
+    garbled = "M&Atilde;&frac14;ller"
+    assert encoding.resolve_references(garbled) == "M\u00c3\u00bcller" and encoding.suspicious(garbled)
+    batch = pa.RecordBatch.from_pydict({"t": [garbled]})
+    assert list(encoding._count(iter([batch])))[0].num_rows == 0  # no clean text to learn from
+    assert not encoding.suspicious("5 m&sup2; &amp; x&y;") and encoding.resolve_references("&amp;&lt;") == "&amp;&lt;"
