@@ -162,3 +162,16 @@ def test_result_does_not_depend_on_partitions(spark):
         x = pipeline.table_of(pipeline.parse_submissions(s.repartition(n)), "nodes")
         hashes.append(x.agg(F.bit_xor(F.xxhash64(*x.columns)), F.count("*")).first())
     assert hashes[0] == hashes[1] == hashes[2]
+
+
+def test_article_restart_behind_many_section_restarts():
+    from stemma.parse import outline
+    from stemma.parse.blocks import Block
+    from stemma.parse.headings import Candidate
+
+    cand = lambda kind, order, at: Candidate(0, kind, "", "", "", 0.9, [], order, at, at + 5, at)
+    cands = [cand("article", 1, 0), *[cand("section", 101 + i % 3, 10 + 10 * i) for i in range(120)]]
+    lines = [("word " * 60, 2000, 0.0), ("/s/ John Doe", 2300, 0.1), ("LOAN AGREEMENT", 2400, 1.0)]
+    blocks = [Block(i, t, at, at + len(t), caps_ratio=caps) for i, (t, at, caps) in enumerate(lines)]
+    cuts, borders = outline.restarts(blocks, [*cands, cand("article", 1, 3000)], [])
+    assert 3000 in cuts and borders == [3000] and len(cuts) == outline.MAX_SEGMENTS - 1
