@@ -57,13 +57,13 @@ def document_rows(spark: SparkSession, run: str, accession: str, sequence: int)
 
 
 def cached_parse(submissions: DataFrame, cache: str) -> DataFrame:
-    """Nodes of submissions; those whose text and parser version are in the cache aren't parsed again."""
-    spark = submissions.sparkSession
+    """Nodes of submissions; those whose accession number, text and parser version are in the cache aren't parsed again."""
+    spark, key = submissions.sparkSession, ["accession_number", "input_sha256"]
     keyed = submissions.withColumn("input_sha256", F.sha2(F.encode("text", "ISO-8859-1"), 256))
     if exists(spark, cache):
         hit = spark.read.parquet(cache).where(F.col("parser_version") == PARSER_VERSION)
-        fresh = keyed.join(hit.select("input_sha256").distinct(), "input_sha256", "left_anti")
-        old = hit.join(keyed.select("input_sha256").distinct(), "input_sha256", "left_semi").drop("input_sha256")
+        fresh = keyed.join(hit.select(*key).distinct(), key, "left_anti")
+        old = hit.join(keyed.select(*key).distinct(), key, "left_semi").drop("input_sha256")
     else:
         fresh, old = keyed, None
     new = materialize(parse_submissions(fresh).select(F.col("documents")[0]["input_sha256"].alias("input_sha256"), F.explode("nodes").alias("r")).select("input_sha256", "r.*"), "fresh").df

@@ -40,6 +40,15 @@ def test_cache_gives_the_same(spark, tmp_path):
     assert a == b and a
 
 
+def test_cache_keeps_copies_of_a_text_apart(spark, tmp_path):
+    cache = f"file://{tmp_path}/cache"
+    text = "<DOCUMENT>\n<TYPE>10-K\n<SEQUENCE>1\n<TEXT>\nITEM 1. BUSINESS\n\nWe make things.\n</TEXT>\n</DOCUMENT>\n"
+    of = lambda *names: {r["accession_number"] for r in runs.cached_parse(spark.createDataFrame([(a, a, 2005, text) for a in names], "accession_number string, cik string, year int, text string"), cache).collect()}
+    assert of("a") == {"a"}
+    assert of("b") == {"b"}
+    assert of("a", "b", "c") == {"a", "b", "c"}
+
+
 def test_stream(spark, tmp_path):
     src, out = tmp_path / "in", f"file://{tmp_path}/out"
     src.mkdir()
