@@ -26,7 +26,7 @@ def p1_descendants(spark, d):
 def p1_depth_errors(spark, d):
     """Nodes whose stored depth isn't the true one."""
     n = table(spark, d, "nodes")
-    h = hierarchy.hierarchy(n, DOC, "node_id", "parent_id").where(F.col("depth").isNotNull())
+    h = hierarchy.hierarchy(n, DOC, "node_id", "parent_id", paths=False).where(F.col("depth").isNotNull())
     stored = n.select(*NODE, F.col("depth").cast("int").alias("stored_depth")).dropDuplicates()
     return h.join(stored, NODE).where(~F.col("depth").eqNullSafe(F.col("stored_depth"))).select(*NODE, "stored_depth", F.col("depth").alias("true_depth"))
 
