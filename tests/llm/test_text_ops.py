@@ -217,3 +217,14 @@ def test_named_references_with_digits():
     batch = pa.RecordBatch.from_pydict({"t": [garbled]})
     assert list(encoding._count(iter([batch])))[0].num_rows == 0  # no clean text to learn from
     assert not encoding.suspicious("5 m&sup2; &amp; x&y;") and encoding.resolve_references("&amp;&lt;") == "&amp;&lt;"
+
+
+def test_markup_of_any_length_and_depth():
+    from stemma.llm import markup
+
+    assert markup.clean(r"\textbf{\emph{\underline{\textit{\textsc{deep}}}}} x") == ("deep x", "latex")
+    assert markup.clean("AT&amp;T <i>x</i> then &lt;b&gt;bold&lt;/b&gt; end")[0] == "AT&T x then bold end"
+    assert markup.clean("<div>" * 3000 + "<p>hi there</p>" + "</div>" * 3000)[0] == "hi there"
+    assert markup.clean("**" + "a" * 5000 + "** b") == ("a" * 5000 + " b", "markdown")
+    assert markup.clean("<title>Only title")[0] == "Only title"
+    assert markup.clean("x <script>var x = 1</script>y")[0] == "x y"
