@@ -2,15 +2,16 @@
 
 Typed values are reduced to token sets and joined with the token sets of the
 list by a prefix-filter set-similarity join: tokens are put in order of their
-rarity in the list (unknown ones first), only the rare prefix of each set takes
-part in the join, candidates pass a length and a positional filter, the
-Jaccard similarity is then computed exactly, and the best entry is kept (ties:
-smallest ref_id).  Each distinct value is handled once.
+rarity over all values and entries (tokens of no entry first, they meet none),
+only the rare prefix of each set takes part in the join, candidates pass a
+length and a positional filter, the Jaccard similarity is then computed
+exactly, and the best entry is kept (ties: smallest ref_id).  Each distinct
+value is handled once, labels and titles in one pass.
 
 Tokens of a label are its keyword, part, number and letter, read with tolerance
-for slips of typing and scanning; since a number that the list doesn't hold
-names nothing, an exact check of all tokens follows.  Tokens of a title are the
-character trigrams of its telling words.
+for slips of typing and scanning; a number that the list doesn't hold names
+nothing, so labels must reach a similarity of 1.  Tokens of a title are the
+character trigrams of its telling words.  Labels and titles may have any length.
 
 The reference list is a fixed list of a few dozen entries; it is read whole and
 refused above ``MAX_REFERENCE`` rows.
@@ -28,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemma.llm.unify import unify_columns
+from stemma.session import materialize
 
 MAX_REFERENCE = 10_000
 TITLE_SIMILARITY = 0.34
-LABEL_SIMILARITY = 0.6
-#: What is longer is no label.
-LABEL_CHARS = 200
+LABEL_SIMILARITY = 1.0
+#: Letters and digits of the longest reading: two keywords, two numbers in words, "of", "No", a letter.
+#: Leading zeros apart, more can't be a keyword and a number of the list.
+LONGEST_READING = 64
 
 # Number words, stop words, and the short forms found in headings.
 WORD_NUMBERS = {w: n for n, w in enumerate("ONE TWO THREE FOUR FIVE SIX SEVEN EIGHT NINE TEN ELEVEN TWELVE THIRTEEN FOURTEEN FIFTEEN SIXTEEN SEVENTEEN EIGHTEEN NINETEEN TWENTY".split(), 1)}
@@ -187,14 +190,27 @@ def _headed(s: str, kind: str, reader) -> tuple[float, object] | None:
     return best
 
 
+_ZEROS = re.compile(r"(?<![\w|])0+(?=\d)")
+_DASHES = re.compile(r"[\s.\-–]{3,}")
+_MIXED = re.compile(r"(?:[^\w|]|_){8,}")
+_RULES = re.compile(r"([.…·_=*:,;#()—–-])(?:\s*\1)+")
+
+
+def _tight(s: str) -> str:
+    """Leaders, rules and leading zeros drawn together; what is read stays the same."""
+    s = _DASHES.sub(lambda m: " - " if m[0].strip() else " ", s)
+    s = _MIXED.sub(lambda m: "".join(dict.fromkeys(m[0])), _RULES.sub(r"\1", s))
+    return _ZEROS.sub("", s)
+
+
 _OF_PART = re.compile(r"^(.*\S)\s+[o0]f\s+(.+)$", re.I)
 _IN_BRACKETS = re.compile(r"^(.*?)\s*\(([^()]{3,})\)*$")
 
 
 def read_label(value: str, kind: str) -> tuple | None:
     """(keyword, part or None, number, letter) that a typed label names; None if it names none."""
-    s = re.sub(r"\s+", " ", value).strip()
-    if len(s) > LABEL_CHARS:
+    s = _tight(re.sub(r"\s+", " ", value).strip())
+    if sum(x.isalnum() or x == "|" for x in s) > LONGEST_READING:
         return None
     s = re.sub(r"[.:\-–—)\s]+$", "", s) if kind != "item" else s.strip()
     if kind != "item":
@@ -273,59 +289,63 @@ def prefix_length(n: int, t: float) -> int:
     return max(0, n - int(-(-t * n // 1)) + 1) if n else 0
 
 
-def _tokens_batch(rank: dict[str, int], t: float, label: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values = b.column(0).to_pylist()
-            groups = b.column(1).to_pylist()
-            forms = b.column(2).to_pylist()
-            out = []
-            for f, g in zip(forms, groups):
-                toks = (label_tokens(f, g) if label else title_tokens(f)) if f is not None else None
-                toks = sorted(set(toks or []), key=lambda x: (rank.get(x, -1), x))
-                out.append((toks, [x for x in toks[: prefix_length(len(toks), t)]]))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([x[0] for x in out], pa.list_(pa.string())), pa.array([x[1] for x in out], pa.list_(pa.string()))],
-                names=["value", "grp", "tokens", "prefix"],
-            )
-
-    return run
-
-
-def similarity_join(values: DataFrame, reference: list[tuple], t: float, label: bool) -> DataFrame:
-    """Best reference entry of each (value, grp): value, grp, ref_id, similarity.
-
-    ``values`` has value, grp and form (the text that is compared); ``reference``
-    is a list of (ref_id, grp, tokens).  Values that reach no entry don't come out.
+def _tokens_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Token set of each (side, grp, value, form)."""
+    for b in batches:
+        sides, groups, forms = (b.column(i).to_pylist() for i in (0, 1, 3))
+        sets = [None if f is None else label_tokens(f, g) if side == "label" else title_tokens(f) for side, g, f in zip(sides, groups, forms)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([sorted(set(x or [])) for x in sets], pa.list_(pa.string()))], names=["side", "grp", "value", "tokens"])
+
+
+def similarity_join(values: DataFrame, reference: list[tuple], limits: dict[str, float]) -> DataFrame:
+    """Best reference entry of each (side, grp, value): those, ref_id, similarity.
+
+    ``values`` has side, grp, value and form (the text that is compared);
+    ``reference`` is a list of (ref_id, side, grp, tokens); ``limits`` gives each
+    side its similarity.  A null grp, of a value or an entry, meets every grp of
+    its side.  Values that reach no entry don't come out.
     """
     spark = values.sparkSession
-    rarity = Counter(x for _, _, toks in reference for x in set(toks))
-    rank = {x: i for i, (x, _) in enumerate(sorted(rarity.items(), key=lambda p: (p[1], p[0])))}
+    schema = "side string, grp string, value string, tokens array<string>"
+    sets = materialize(values.select("side", "grp", "value", "form").mapInArrow(_tokens_batch, schema), "tokens").df
+    # Rarity over everything; only tokens of entries can meet, so the counts are bounded by the list.
+    seen = Counter(x for _, _, _, toks in reference for x in set(toks))
+    vocabulary = spark.createDataFrame([(x,) for x in seen], "token string")
+    for r in sets.select(F.explode("tokens").alias("token")).join(F.broadcast(vocabulary), "token").groupBy("token").count().collect():
+        seen[r["token"]] += r["count"]
+    rank = {x: i for i, (x, _) in enumerate(sorted(seen.items(), key=lambda p: (p[1], p[0])))}
     rows = []
-    for ref_id, grp, toks in reference:
+    for ref_id, side, grp, toks in reference:
         toks = sorted(set(toks), key=lambda x: rank[x])
-        for i, x in enumerate(toks[: prefix_length(len(toks), t)]):
-            rows.append((x, i, ref_id, grp, toks))
-    ref = spark.createDataFrame(rows, "token string, ref_at int, ref_id int, ref_grp string, ref_tokens array<string>")
-    sets = values.select("value", "grp", "form").mapInArrow(_tokens_batch(rank, t, label), "value string, grp string, tokens array<string>, prefix array<string>")
+        for i, x in enumerate(toks[: prefix_length(len(toks), limits[side])]):
+            rows.append((x, i, ref_id, side, grp, toks))
+    ref = spark.createDataFrame(rows, "token string, ref_at int, ref_id int, ref_side string, ref_grp string, ref_tokens array<string>")
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets_ = [sorted(x, key=lambda x: (rank.get(x, -1), x)) for x in b.column(3).to_pylist()]
+            heads = [x[: prefix_length(len(x), limits[side])] for x, side in zip(sets_, b.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets_, pa.list_(pa.string())), pa.array(heads, pa.list_(pa.string()))], names=["side", "grp", "value", "tokens", "prefix"])
+
+    t = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("side")]
     n, m = F.size("tokens"), F.size("ref_tokens")
-    need = F.ceil(F.lit(t) / (1 + t) * (n + m))
+    need = F.ceil(t / (1 + t) * (n + m))
     left = F.lit(1) + F.least(n - F.col("at") - 1, m - F.col("ref_at") - 1) + F.least(F.col("at"), F.col("ref_at"))
     met = (
-        sets.select("value", "grp", "tokens", F.posexplode("prefix").alias("at", "token"))
+        sets.mapInArrow(prefixes, f"{schema}, prefix array<string>")
+        .select("side", "grp", "value", "tokens", F.posexplode("prefix").alias("at", "token"))
         .join(F.broadcast(ref), "token")
-        .where(F.col("ref_grp").isNull() | F.col("grp").isNull() | (F.col("ref_grp") == F.col("grp")))
+        .where((F.col("ref_side") == F.col("side")) & (F.col("ref_grp").isNull() | F.col("grp").isNull() | (F.col("ref_grp") == F.col("grp"))))
         .where((m >= n * t) & (n >= m * t) & (left >= need))
-        .dropDuplicates(["value", "grp", "ref_id"])
     )
     common = F.size(F.array_intersect("tokens", "ref_tokens"))
     jaccard = common / (n + m - common)
     return (
         met.withColumn("similarity", jaccard)
         .where(F.col("similarity") >= t)
-        .groupBy("value", "grp")
+        .groupBy("side", "grp", "value")
         .agg(F.max(F.struct("similarity", (-F.col("ref_id")).alias("minus"))).alias("best"))
-        .select("value", "grp", (-F.col("best.minus")).alias("ref_id"), F.col("best.similarity").alias("similarity"))
+        .select("side", "grp", "value", (-F.col("best.minus")).alias("ref_id"), F.col("best.similarity").alias("similarity"))
     )
 
 
@@ -341,50 +361,33 @@ def plain_label(c):
     return F.regexp_replace(F.upper(F.trim(c)), r"[.:\-–— ]+$", "")
 
 
-def map_labels(candidates: DataFrame, reference: DataFrame) -> DataFrame:
-    """Distinct (kind, label_raw) that aren't printed forms of the list, with ref_id or -1."""
-    rows = _reference_rows(reference)
-    known = [x for r in rows for x in (r["label_canon"], r["alt_label"]) if x]
-    entries = []
-    for r in rows:
-        if r["level_kind"] in KEYWORDS:
-            toks = label_tokens(r["label_canon"], r["level_kind"])
-            entries.append((r["ref_id"], r["level_kind"], toks))
-    odd = (
-        candidates.where(F.col("kind").isin(*KEYWORDS) & F.col("label_raw").isNotNull())
-        .select("kind", "label_raw")
-        .where(~plain_label(F.col("label_raw")).isin(*known))
-        .distinct()
-    )
-    forms = unify_columns(odd.withColumn("form", F.col("label_raw")), ["form"])
-    got = similarity_join(forms.select(F.col("label_raw").alias("value"), F.col("kind").alias("grp"), "form"), entries, LABEL_SIMILARITY, True)
-    # A number, letter or part that isn't the entry's names another entry or none.
-    exact = got.where(F.col("similarity") == 1.0).select(F.col("grp").alias("kind"), F.col("value").alias("label_raw"), "ref_id")
-    return odd.join(exact, ["kind", "label_raw"], "left").withColumn("ref_id", F.coalesce("ref_id", F.lit(-1)).cast("int"))
-
+def map_values(values: DataFrame, reference: list) -> DataFrame:
+    """ref_id of each distinct (side, grp, value) that reaches an entry.
 
-def map_titles(items: DataFrame, reference: DataFrame) -> DataFrame:
-    """Distinct (grammar, title) with ref_id of the entry whose ref_title is meant, or -1."""
-    rows = _reference_rows(reference)
-    entries = [(r["ref_id"], r["grammar"], title_tokens(r["ref_title"])) for r in rows if r["ref_title"]]
-    titles = items.select("grammar", "title").where(F.col("title").isNotNull()).distinct()
-    forms = unify_columns(titles.withColumn("form", F.col("title")), ["form"])
-    got = similarity_join(forms.select(F.col("title").alias("value"), F.col("grammar").alias("grp"), "form"), entries, TITLE_SIMILARITY, False)
-    best = got.select(F.col("grp").alias("grammar"), F.col("value").alias("title"), "ref_id")
-    same = (titles["grammar"].eqNullSafe(best["grammar"])) & (titles["title"] == best["title"])
-    return titles.join(best, same, "left").select(titles["grammar"], titles["title"], F.coalesce("ref_id", F.lit(-1)).cast("int").alias("ref_id"))
+    side is 'label' (grp is its kind) or 'title' (grp is its grammar, null for any).
+    """
+    entries = [(r["ref_id"], "label", r["level_kind"], label_tokens(r["label_canon"], r["level_kind"])) for r in reference if r["level_kind"] in KEYWORDS]
+    entries += [(r["ref_id"], "title", r["grammar"], title_tokens(r["ref_title"])) for r in reference if r["ref_title"]]
+    forms = unify_columns(values.where(F.col("value").isNotNull()).distinct().withColumn("form", F.col("value")), ["form"])
+    return similarity_join(forms, entries, {"label": LABEL_SIMILARITY, "title": TITLE_SIMILARITY})
 
 
 def map_records(candidates: DataFrame, nodes: DataFrame, reference: DataFrame) -> DataFrame:
     """Distinct (rec_table, accession_number, sequence, rec_no, ref_id) of both kinds of record.
 
-    A null title means no entry; a node without grammar may take an entry of any grammar.
+    Labels that are printed forms of the list are no cases.  A null title means
+    no entry; a node without grammar may take an entry of any grammar.
     """
-    labels = map_labels(candidates, reference)
-    own = candidates.where(F.col("label_raw").isNotNull()).select("accession_number", "sequence", F.col("cand_no").alias("rec_no"), "kind", "label_raw")
-    a = own.join(labels, ["kind", "label_raw"]).select(F.lit("candidates").alias("rec_table"), "accession_number", "sequence", "rec_no", "ref_id")
-    lost = nodes.where((F.col("level_kind") == "item") & F.col("label_canon").isNull()).select("accession_number", "sequence", F.col("node_id").alias("rec_no"), "grammar", "title")
-    t = map_titles(lost, reference)
-    same = lost["grammar"].eqNullSafe(t["grammar"]) & (lost["title"] == t["title"])
-    b = lost.join(t, same, "left").select(F.lit("nodes").alias("rec_table"), "accession_number", "sequence", "rec_no", F.coalesce("ref_id", F.lit(-1)).cast("int").alias("ref_id"))
-    return a.unionByName(b).distinct()
+    rows = _reference_rows(reference)
+    known = [x for r in rows for x in (r["label_canon"], r["alt_label"]) if x]
+    key = ["accession_number", "sequence"]
+    label = F.col("label_raw")
+    typed = candidates.where(F.col("kind").isin(*KEYWORDS) & label.isNotNull()).where(~plain_label(label).isin(*known))
+    lost = nodes.where((F.col("level_kind") == "item") & F.col("label_canon").isNull())
+    records = typed.select(F.lit("candidates").alias("rec_table"), *key, F.col("cand_no").alias("rec_no"), F.lit("label").alias("side"), F.col("kind").alias("grp"), label.alias("value")).unionByName(
+        lost.select(F.lit("nodes").alias("rec_table"), *key, F.col("node_id").alias("rec_no"), F.lit("title").alias("side"), F.col("grammar").alias("grp"), F.col("title").alias("value"))
+    )
+    # Written, so that the size of the mapping is known when it is joined: broadcast if small, else by keys.
+    mapped = materialize(map_values(records.select("side", "grp", "value"), rows).select(F.col("side").alias("m_side"), F.col("grp").alias("m_grp"), F.col("value").alias("m_value"), "ref_id"), "mapped").df
+    same = (F.col("side") == F.col("m_side")) & F.col("grp").eqNullSafe(F.col("m_grp")) & (F.col("value") == F.col("m_value"))
+    return records.join(mapped, same, "left").select("rec_table", *key, "rec_no", F.coalesce("ref_id", F.lit(-1)).cast("int").alias("ref_id")).distinct()

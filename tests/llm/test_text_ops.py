@@ -72,13 +72,13 @@ def test_map_records(spark):
 
 def test_similarity_join_equals_brute_force(spark):
     titles = ["rate and price update", "rates and prices update", "interim control review", "internal control evaluation", "", "zzz", "price update rate"]
-    entries = [(i, None, canonical.title_tokens(t)) for i, t in enumerate(["Rate and Price Update", "Internal Control Evaluation", "Interim Control Review"])]
-    df = spark.createDataFrame([(t, None, t) for t in titles], "value string, grp string, form string")
-    got = {r["value"]: (r["ref_id"], round(r["similarity"], 9)) for r in canonical.similarity_join(df, entries, 0.3, False).collect()}
+    entries = [(i, "title", None, canonical.title_tokens(t)) for i, t in enumerate(["Rate and Price Update", "Internal Control Evaluation", "Interim Control Review"])]
+    df = spark.createDataFrame([("title", t, None, t) for t in titles], "side string, value string, grp string, form string")
+    got = {r["value"]: (r["ref_id"], round(r["similarity"], 9)) for r in canonical.similarity_join(df, entries, {"title": 0.3}).collect()}
     want = {}
     for t in titles:
         x = set(canonical.title_tokens(t))
-        sims = [(len(x & set(e)) / len(x | set(e)) if x | set(e) else 0, -i) for i, _, e in entries]
+        sims = [(len(x & set(e)) / len(x | set(e)) if x | set(e) else 0, -i) for i, _, _, e in entries]
         s, i = max(sims)
         if s >= 0.3:
             want[t] = (-i, round(s, 9))
@@ -157,6 +157,12 @@ def test_very_long_and_deep_texts(text):
 
 def test_long_label_is_none():
     assert canonical.read_label("Item (" * 2000, "item") is None
+    assert canonical.read_label("PART I " + ":," * 50_000, "item") is None
+
+
+@pytest.mark.parametrize("label, want", [("Item 7A " + ". " * 500, ("item", None, 7, "A")), ("PART II" + "." * 300 + " ITEM 6", ("item", 2, 6, "")), ("Item " + "0" * 500 + "1", ("item", None, 1, "")), ("Item" + " " * 900 + "9", ("item", None, 9, ""))])
+def test_long_labels_are_read(label, want):
+    assert canonical.read_label(label, "item") == want
 
 
 def test_clean_texts(spark):
