@@ -62,3 +62,32 @@ def test_bitmaps_sparse_and_dense():
             x, y = Presence(n, a), Presence(n, b)
             assert x.and_not(y).tolist() == sorted(set(a.tolist()) - set(b.tolist()))
             assert x.both(y).tolist() == sorted(set(a.tolist()) & set(b.tolist()))
+
+
+def test_runs_of_many_ordinals():
+    rng = np.random.default_rng(2)
+    for share in (0.001, 0.03, 0.2, 0.9):
+        n = 200_000
+        a, b = np.flatnonzero(rng.random(n) < share), np.flatnonzero(rng.random(n) < 0.1)
+        for x, y in ((a, b), (b, a)):
+            p, q = Presence(n, x), Presence(n, y)
+            assert np.array_equal(p.and_not(q), np.setdiff1d(x, y))
+            assert np.array_equal(p.both(q), np.intersect1d(x, y))
+
+
+def test_keys_and_fields_of_other_types(spark):
+    import datetime
+    from decimal import Decimal
+
+    schema = "k date, t timestamp, d decimal(9,2), x double"
+    day, at = datetime.date(2020, 1, 2), datetime.datetime(2020, 1, 2, 3, 4)
+    a = spark.createDataFrame([(day, at, Decimal("1.50"), float("nan")), (day, at, Decimal("2.50"), 1.0), (None, at, None, None)], schema)
+    b = spark.createDataFrame([(day, at, Decimal("1.50"), float("nan")), (day, at, Decimal("2.50"), 1.5)], schema)
+    rows = compare_tables(a, b, ["k", "t", "d"], ["x"]).collect()
+    assert sorted((str(r["d"]), r["difference"], r["left_value"], r["right_value"]) for r in rows) == [("2.50", "x", "1", "1.5"), ("None", "only_left", None, None)]
+
+
+def test_a_key_that_fills_chunks(spark):
+    rows = [("a", 1, f"x{i % 997:03}", i, "") for i in range(30_000)]
+    got, _ = run(spark, rows, [("a", 1, "x000", 0, ""), ("b", 2, None, None, "")])
+    assert got == [(("b", 2), "new")]
