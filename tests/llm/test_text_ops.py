@@ -229,6 +229,19 @@ def test_margin_sample_ignores_order(spark, monkeypatch):
     assert sample(texts) == sample(texts[::-1]) and len(sample(texts)) == 20
 
 
+def test_restoration_of_held_out_text(spark):
+    """Clean text garbled on purpose comes back: 0.99 of it exactly."""
+    words = "Größe façade naïve “quoted” – the company’s résumé § 4 año coût €5 Überschuß señor".split()
+    rng = random.Random(11)
+    lines = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(400)]
+    model = encoding.train(spark.createDataFrame([(x,) for x in lines[:200]], "text string"))
+    fix = encoding.Repairer(model)
+    cases = [(x, encoding_name) for x in lines[200:] for encoding_name in ("cp1252", "mac_roman", "cp437", "cp850", "cp1251")]
+    right = sum(fix.repair(_garble(x, e))[1] == x for x, e in cases)
+    assert right >= 0.99 * len(cases)
+    assert not any(fix.repair(x)[0] for x in lines[200:])
+
+
 def test_named_references_with_digits():
     garbled = "M&Atilde;&frac14;ller"
     assert encoding.resolve_references(garbled) == "M\u00c3\u00bcller" and encoding.suspicious(garbled)
