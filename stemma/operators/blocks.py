@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stemma.functions import phrases
 from stemma.operators.tree import latest_before
 
 DOC = ["accession_number", "sequence"]
-# What a line of page furniture, a caption, a signature and an instrument title look like.
+# Shapes of page furniture and of prose, and bounds.
 FURNITURE = r"(?i)^\s*(?:-\s*\d+\s*-|page\s+\d+|\d{1,3}|[ivx]{1,5})\s*$"
-CAPTION = r"(?i)^\s*(?:consolidated (?:balance sheets?|statements? of)|index to (?:consolidated )?financial statements|selected (?:consolidated )?financial data|notes to (?:the )?(?:consolidated )?financial statements|balance sheets?\b|statements? of (?:operations|income|cash flows?))"
-BACK_HEAD = r"(?i)^\s*(?:signatures?|signature pages?|power of attorney|exhibits?\s+index|index\s+(?:to|of)\s+exhibits?|list\s+of\s+exhibits?|in witness whereof)\b"
-INSTRUMENT = r"\b(?:AGREEMENT|GUARANTY|GUARANTEE|MORTGAGE|INDENTURE|NOTE|PLEDGE|LEASE|WARRANT|DEED|CONTRACT|DEBENTURE|SUPPLEMENT|AMENDMENT|ASSIGNMENT|CERTIFICATE|INSTRUMENT)\b"
+CAPTION, BACK_HEAD = phrases.opening(phrases.CAPTIONS), phrases.opening([*phrases.BACK_HEADS, *phrases.WITNESS])
+INSTRUMENT = phrases.pattern(phrases.INSTRUMENTS)
 PROSE = r"[a-z]{3,}\s+[a-z]{3,}\s+[a-z]{3,}"
 LOOK_BACK, LOOK_AHEAD = 60, 6000
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stemma.parse.grammars import GRAMMARS
+
 DOC = ["accession_number", "sequence"]
 # What style adds to a candidate's score, in the order in which the rules fire, and the bounds of the rules.
 STYLE = [("sty.bold", 0.15), ("sty.underline", 0.15), ("sty.caps", 0.15), ("sty.center", 0.05), ("sty.font_size", 0.10), ("pos.short_block", 0.10), ("pos.in_table", -0.10), ("pub.comment_marker", 0.20)]
@@ -100,3 +103,31 @@ def best_unclaimed(c: DataFrame, nodes: DataFrame) -> DataFrame:
     taken = nodes.where("label_raw is not null").select(*DOC, F.upper(F.trim("label_raw")).alias("label")).distinct()
     w = Window.partitionBy(*DOC, "label").orderBy(F.col("score").desc_nulls_last(), "head_raw_start", "cand_no")
     return x.join(taken, [*DOC, "label"], "left_anti").withColumn("r", F.row_number().over(w)).where("r = 1").select(*DOC, "label", "cand_no", F.round(F.col("score").cast("double"), 6).alias("score"))
+
+
+def printed_names(values: DataFrame) -> DataFrame:
+    """(kind, label_raw, label): what the parser's own reader calls each label; null where it reads none.
+
+    Kinds are part, item (of annual reports), article, section and clause; of
+    other kinds nothing is read.  A null label stays null.
+    """
+
+    def run(batches):
+        by_kind: dict[str, list] = {}
+        for g in (GRAMMARS["form10k"], GRAMMARS["contract"]):
+            for lv in g.levels:
+                by_kind.setdefault(lv.kind, []).append((g, lv))
+
+        def name(kind: str | None, raw: str | None) -> str | None:
+            for g, lv in by_kind.get(kind, ()):
+                h = lv.scan(raw) if raw is not None else None
+                read = g.read(lv, h) if h else None
+                if read:
+                    return read[0]
+            return None
+
+        for b in batches:
+            names = [name(k, r) for k, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string())], names=["kind", "label_raw", "label"])
+
+    return values.select("kind", "label_raw").mapInArrow(run, "kind string, label_raw string, label string")

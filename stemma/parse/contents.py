@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import regex
-
+from stemma.functions.phrases import CONTENTS_HEADS, opens
 from stemma.parse.blocks import Block
 from stemma.parse.headings import BARE_PAGE, LEADER, PAGE_AT_END, PROSE, Candidate
 
 # How close members stand, how long runs are, and what makes a run a contents page.
-HEAD = regex.compile(r"^\s*(?:table of contents|index|contents|form 10-k\s*(?:annual report\s*)?(?:index|table of contents))\b", regex.I)
+HEAD = opens(CONTENTS_HEADS)
 GAP_BLOCKS, GAP_CHARS, TABLE_TIMES, FURNITURE_TIMES = 4, 600, 4, 6
 LEAST, STRONG = 4, 0.55
 CONTRACT_LEAST, CONTRACT_SHARE, CONTRACT_SPREAD = 6, 0.6, 2.5

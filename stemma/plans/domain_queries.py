@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stemma.functions import labels as L
+from stemma.functions import phrases
 from stemma.functions import text as X
 from stemma.operators import analytics as A
 from stemma.operators import candidates as C
@@ -265,21 +266,38 @@ def label_order_keys(spark, d):
     return x.select("label_canon", L.order_key(F.col("label_canon")).alias("order_key"))
 
 
-@query(r"""WITH c AS (SELECT DISTINCT kind, label_raw FROM candidates WHERE label_raw IS NOT NULL AND kind IN ('part', 'item', 'article', 'section'))
-SELECT kind, label_raw, CASE kind WHEN 'part' THEN 'PART ' || ['I', 'II', 'III', 'IV'][coalesce(TRY_CAST(n AS INTEGER), list_position(['I', 'II', 'III', 'IV'], n), list_position(['ONE', 'TWO', 'THREE', 'FOUR'], n))]
-WHEN 'section' THEN CASE WHEN TRY_CAST(sa AS INTEGER) BETWEEN 1 AND 40 THEN 'SECTION ' || TRY_CAST(sa AS INTEGER) || '.' || lpad(TRY_CAST(sb AS INTEGER)::VARCHAR, 2, '0') || sc END END AS label FROM (
-SELECT *, upper(regexp_extract(label_raw, '(?is)^[\s"''\(\[\*•\-]*P\s?A\s?R\s?T\s+(I{1,3}|IV|[1-4]|ONE|TWO|THREE|FOUR)([^\pL\pN_]|$)', 1)) AS n,
-regexp_extract(label_raw, '(?is)^[\s"''\(\[\*•\-]*(S\s?E\s?C\s?T\s?I\s?O\s?N\s+|§\s*)?(\d{1,2})\.(\d{1,2})(\.\d{1,2})?([^\d%]|$)', 2) AS sa, regexp_extract(label_raw, '(?is)^[\s"''\(\[\*•\-]*(S\s?E\s?C\s?T\s?I\s?O\s?N\s+|§\s*)?(\d{1,2})\.(\d{1,2})(\.\d{1,2})?([^\d%]|$)', 3) AS sb,
-regexp_extract(label_raw, '(?is)^[\s"''\(\[\*•\-]*(S\s?E\s?C\s?T\s?I\s?O\s?N\s+|§\s*)?(\d{1,2})\.(\d{1,2})(\.\d{1,2})?([^\d%]|$)', 4) AS sc FROM c) WHERE kind IN ('part', 'section')""")
-def printed_labels(spark, d):
-    c = table(spark, d, "candidates").where("label_raw is not null and kind in ('part', 'section')").select("kind", "label_raw").distinct()
-    return c.select("kind", "label_raw", F.when(F.col("kind") == "part", L.part_label(F.col("label_raw"))).otherwise(L.section_label(F.col("label_raw"))).alias("label"))
+# Labels without what is set before them; the keyword's letters drawn together.
+_PRINTED = r"""WITH c AS (SELECT DISTINCT kind, label_raw, upper(ltrim(translate(regexp_replace(label_raw, '[\s\pZ]', ' ', 'g'), '０１２３４５６７８９', '0123456789'), ' "''([*•-')) AS t FROM candidates WHERE label_raw IS NOT NULL AND kind IN ({kinds})),
+k AS (SELECT *, regexp_replace(t, '^([A-Z])\s?([A-Z])\s?([A-Z])\s?([A-Z])', '\1\2\3\4') AS four, regexp_replace(t, '^([A-Z])\s?([A-Z])\s?([A-Z])\s?([A-Z])\s?([A-Z])\s?([A-Z])\s?([A-Z])', '\1\2\3\4\5\6\7') AS seven FROM c)"""
+_ROMANS = "['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X', 'XI', 'XII', 'XIII', 'XIV', 'XV', 'XVI', 'XVII', 'XVIII', 'XIX', 'XX', 'XXI', 'XXII', 'XXIII', 'XXIV', 'XXV', 'XXVI', 'XXVII', 'XXVIII', 'XXIX', 'XXX', 'XXXI', 'XXXII', 'XXXIII', 'XXXIV', 'XXXV', 'XXXVI', 'XXXVII', 'XXXVIII', 'XXXIX', 'XL']"
+_WORDS = str(L.WORDS)
 
 
-@query(None)
+def _printed(spark, d, *kinds):
+    c = table(spark, d, "candidates").where(F.col("label_raw").isNotNull() & F.col("kind").isin(*kinds)).select("kind", "label_raw").distinct()
+    return C.printed_names(c)
+
+
+@query(_PRINTED.format(kinds="'part', 'section'") + r""", n AS (SELECT *, regexp_extract(four, '^PART\s+([A-Z]+|[0-9])(\s*[.:,–—-]|\s|$)', 1) AS w, regexp_replace(regexp_replace(seven, '^SECTION\s+', '§'), '^§\s*', '§') AS s FROM k),
+m AS (SELECT *, regexp_extract(s, '^(§?)([0-9]{1,2})((\.[0-9]{1,2})?)((\.[0-9]{1,2})?)([^0-9%].*)?$', ['mark', 'a', 'b', 'b2', 'c', 'c2', 'rest']) AS x FROM n)
+SELECT kind, label_raw, CASE kind WHEN 'part' THEN 'PART ' || ['I', 'II', 'III', 'IV'][coalesce(TRY_CAST(w AS INTEGER), list_position(['I', 'II', 'III', 'IV'], w), list_position(['ONE', 'TWO', 'THREE', 'FOUR'], w))]
+WHEN 'section' THEN CASE WHEN TRY_CAST(x.a AS INTEGER) BETWEEN 1 AND 40 AND regexp_matches(x.rest, '^(\s*[.:–—-]+|\s+|[A-Z"“]|$)')
+THEN CASE WHEN x.b <> '' THEN 'SECTION ' || TRY_CAST(x.a AS INTEGER) || '.' || lpad(TRY_CAST(x.b[2:] AS INTEGER)::VARCHAR, 2, '0') || x.c WHEN x.mark = '§' AND NOT regexp_matches(x.rest, '^\s*[.:–—-]*\s*[0-9(]') THEN 'SECTION ' || TRY_CAST(x.a AS INTEGER) END END END AS label FROM m""")
+def printed_labels(spark, d):
+    return _printed(spark, d, "part", "section")
+
+
+@query(_PRINTED.format(kinds="'item', 'article'") + rf""", n AS (SELECT *, regexp_extract(seven, '^ARTICLE\s+([A-Z]+|[0-9]{{1,2}})(\s*[.:–—-]|\s|$)', 1) AS w, CASE WHEN starts_with(four, 'ITEM') THEN regexp_replace(regexp_replace(four[5:], '^S', ''), '^\s*NO\.?', ' ') END AS r FROM k),
+m AS (SELECT *, regexp_extract(r, '^\s*([0-9]+|[A-Z]+)', 1) AS num, regexp_replace(r, '^\s*([0-9]+|[A-Z]+)', '') AS tail FROM n),
+v AS (SELECT *, CASE WHEN regexp_matches(num, '^[0-9]+$') THEN TRY_CAST(num AS INTEGER) WHEN list_position({_ROMANS}[1:16], num) > 0 THEN list_position({_ROMANS}[1:16], num) WHEN regexp_matches(r, '^\s') THEN list_position({_WORDS}[1:16], num) END AS val,
+regexp_extract(tail, '^\s*(\.\s*)?([A-C])([^\pL\pN_]|$)', 2) AS suf, coalesce(try_cast(w AS INTEGER), list_position({_ROMANS}, w), list_position({_WORDS}, w)) AS art FROM m),
+z AS (SELECT *, CASE WHEN suf <> '' THEN regexp_replace(tail, '^\s*(\.\s*)?[A-C]', '') ELSE tail END AS rest FROM v),
+y AS (SELECT *, 'ITEM ' || val || suf AS name, regexp_matches(regexp_replace(rest, '^\s*\([A-Z]\)', ''), '^(\s*[.:,;)–—-]+|\s+|$)') AS ends FROM z)
+SELECT kind, label_raw, CASE WHEN kind = 'article' THEN CASE WHEN art BETWEEN 1 AND 40 THEN 'ARTICLE ' || art END
+WHEN length(num) <= 4 AND val >= 1100 AND regexp_matches(regexp_replace(tail, '^\([A-Z]\)(\([0-9]+\))?', ''), '^(\s*[.:,;)–—-]+|\s+|$)') AND val::VARCHAR IN ({", ".join(repr(x) for x in L.ITEMS_REGAB)}) THEN 'ITEM ' || val
+WHEN ends AND val::VARCHAR || suf IN ({", ".join(repr(x) for x in L.ITEMS_10K)}) AND (num !~ '^[0-9]+$' OR length(num) <= 2) THEN name END AS label FROM y""")
 def printed_items(spark, d):
-    c = table(spark, d, "candidates").where("label_raw is not null and kind in ('item', 'article')").select("kind", "label_raw").distinct()
-    return c.select("kind", "label_raw", F.when(F.col("kind") == "item", L.item_label_10k(F.col("label_raw"))).otherwise(L.article_label(F.col("label_raw"))).alias("label"))
+    return _printed(spark, d, "item", "article")
 
 
 @query(r"""SELECT DISTINCT y.year::INTEGER AS year, array_to_string(list_sort(list_filter(['1','2','3','4','5','6','7','8','9','10','11','12','13','14'] || CASE WHEN y.year >= 1998 THEN ['7A'] ELSE [] END || CASE WHEN y.year >= 2004 THEN ['15'] ELSE [] END
@@ -665,7 +683,7 @@ def page_distances(spark, d):
     return B.page_distance(_blocks(spark, d))
 
 
-@query(rf"""WITH {_B} SELECT accession_number, sequence, idx, idx - max(CASE WHEN regexp_matches(text, '\b(AGREEMENT|GUARANTY|GUARANTEE|MORTGAGE|INDENTURE|NOTE|PLEDGE|LEASE|WARRANT|DEED|CONTRACT|DEBENTURE|SUPPLEMENT|AMENDMENT|ASSIGNMENT|CERTIFICATE|INSTRUMENT)\b') THEN idx END)
+@query(rf"""WITH {_B} SELECT accession_number, sequence, idx, idx - max(CASE WHEN regexp_matches(text, '{phrases.pattern(phrases.INSTRUMENTS)}') THEN idx END)
 OVER (PARTITION BY accession_number, sequence ORDER BY idx ROWS BETWEEN 60 PRECEDING AND CURRENT ROW) AS back FROM b""")
 def instrument_distance(spark, d):
     from stemma.operators import blocks as B
@@ -681,7 +699,7 @@ def evidence_after(spark, d):
 
 
 @query(rf"""WITH {_B}, x AS (SELECT *, max(norm_end) OVER (PARTITION BY accession_number, sequence) AS top FROM b)
-SELECT accession_number, sequence, min(idx) AS idx, min(raw_start) AS back_start FROM x WHERE regexp_matches(text, '(?i)^\s*(signatures?|signature pages?|power of attorney|exhibits?\s+index|index\s+(to|of)\s+exhibits?|list\s+of\s+exhibits?|in witness whereof)\b') AND norm_start * 2 >= top GROUP BY 1, 2""")
+SELECT accession_number, sequence, min(idx) AS idx, min(raw_start) AS back_start FROM x WHERE regexp_matches(text, '{phrases.opening([*phrases.BACK_HEADS, *phrases.WITNESS])}') AND norm_start * 2 >= top GROUP BY 1, 2""")
 def back_heads(spark, d):
     from stemma.operators import blocks as B
 

@@ -8,7 +8,8 @@ import pytest
 from stemma.operators.tree import heaviest_chain
 from stemma.parse import pipeline
 from stemma.parse.blocks import html_blocks, text_blocks
-from stemma.parse.grammars import GRAMMARS, clause_readings, roman
+from stemma.functions.heads import roman
+from stemma.parse.grammars import GRAMMARS, clause_readings
 from stemma.parse.trees import read_clauses
 
 
@@ -63,8 +64,8 @@ def test_labels(grammar, line, want):
     g = GRAMMARS[grammar]
     got = None
     for lv in g.levels:
-        m = lv.pattern.match(line)
-        got = (g.read(lv, m) if m else None) or got
+        h = lv.scan(line)
+        got = (g.read(lv, h) if h else None) or got
         if got:
             break
     assert (got and got[0]) == want
@@ -77,10 +78,13 @@ def test_numerals_and_readings():
 
 
 def test_clause_lists():
-    read = lambda marks: [p and p[0] for p in read_clauses([(0.6, clause_readings(m)) for m in marks])[0]]
+    read = lambda marks: [p and p[0] for p in read_clauses([(0.6, clause_readings(m)) for m in marks])]
     assert read(["a", "b", "i", "ii", "iii", "c", "d"]) == [0, 0, 1, 1, 1, 0, 0]
     assert read(["a", "b", "c", "d", "e", "f", "g", "h", "i", "j"]) == [0] * 10
     assert read(["a", "i", "A", "1", "2", "B", "ii", "b"]) == [0, 1, 2, 3, 3, 2, 1, 0]
+    assert read(["g", "h", "i", "ii", "iii", "i", "j"]) == [0, 0, 1, 1, 1, 0, 0]
+    assert read(["a", "b", "a", "b", "i", "ii", "c"]) == [0, 0, 0, 0, 1, 1, 0]
+    assert read(["a", "c", "d"]) == [0, 0, 0] and read([]) == [] and read(["u", "v", "w", "x"]) == [0, 0, 0, 0]
 
 
 def test_chain_is_heaviest():
