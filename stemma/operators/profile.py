@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stemma.functions.phrases import pattern
 from stemma.functions.text import strip_tags
 from stemma.sources.sgml import is_inline_xbrl
 
@@ -35,17 +36,21 @@ SIGNALS = {
     "hidden_white_text": r"font-size:\s*1pt;\s*color:\s*white",
     "img_tag": r"<img\b",
     "pre_tag": r"<pre\b",
-    "cross_reference_index": r"CROSS[\s-]*REFERENCE\s+INDEX|FORM 10-K CROSS[\s-]*REFERENCE",
-    "reg_ab": r"Regulation\s+AB|Item\s+11\d\d\b|General Instruction J|as the Depositor|Issuing Entity|Servicing Criteria|Asset[- ]Backed",
+    "cross_reference_index": pattern(["cross reference index", "cross-reference index"]),
+    "reg_ab": pattern(["Regulation AB", "General Instruction J", "as the Depositor", "Issuing Entity", "Servicing Criteria", "Asset-Backed", "Asset Backed"]) + r"|\bItem\s+11\d\d\b",
 }
 ABS_WINDOW = 50_000
-ABS_WORDS = [r"Regulation\s+AB", r"Item\s+11\d\d\b", r"General\s+Instruction\s+J", r"as\s+(?:the\s+)?depositor", r"Issuing\s+Entity", r"Servicing\s+Criteria", r"Noteholders?", r"Certificateholders?", r"Pooling\s+and\s+Servicing"]
-ABS_NAME = r"RECEIVABLES|SECURITIZ|ASSET[ -]?BACKED|\bABS\b|PASS[ -]?THROUGH|(?:OWNER|MASTER|GRANTOR|AUTO|LOAN|MORTGAGE|FUNDING)S?\s+TRUST|CERTIFICATES|TRUST\s+(?:19|20)\d\d|(?:19|20)\d\d-[A-Z0-9]+\b"
-STUB_CHARS = 4096
-BY_REFERENCE = r"(?i)incorporated[\s\S]{0,80}?by\s+reference|incorporated\s+herein|by\s+reference\s+to"
-OWN_REPORT = r"(?i)(?:this|of\s+this|in\s+this)\s+annual\s+report|annual\s+report\s+(?:on|in)\s+form\s+10-?k"
-EXHIBIT_13 = r"(?i)exhibit\s+(?:no\.?\s*)?13\b"
-INTERNAL_POINTER = r"(?i)\bF-\d|index\s+to\s+(?:the\s+)?(?:consolidated\s+)?financial\s+statements|item\s+1[45]\b|(?:this|of\s+this|in\s+this)\s+(?:annual\s+)?report\s+on\s+form\s+10-?k|follow(?:s|ing)\s+the\s+signature|elsewhere\s+(?:in|herein)"
+ABS_PHRASES = ["regulation ab", "general instruction j", "as depositor", "as the depositor", "issuing entity", "servicing criteria", "noteholder(s)", "certificateholder(s)", "pooling and servicing"]
+ABS_WORDS = [*[pattern([p]) for p in ABS_PHRASES], r"\bItem\s+11\d\d\b"]
+TRUSTS = [f"{kind}{s} trust" for kind in ("owner", "master", "grantor", "auto", "loan", "mortgage", "funding") for s in ("", "s")]
+ABS_NAME = pattern(["receivables", "asset-backed", "asset backed", "abs", "pass-through", "pass through", "certificates", *TRUSTS]) + r"|securitiz|passthrough|assetbacked|\btrust\s+(?:19|20)\d\d|\b(?:19|20)\d\d-[a-z0-9]+\b"
+STUB_CHARS, REFERENCE_GAP = 4096, 80
+BY_REFERENCE = rf"(?i)incorporated[\s\S]{{0,{REFERENCE_GAP}}}?{pattern(['by reference'])}|{pattern(['incorporated herein', 'by reference to'])}"
+OWN_REPORT = "(?i)" + pattern(["this annual report", *[f"annual report {w} form {f}" for w in ("on", "in") for f in ("10-k", "10k")]])
+EXHIBIT_13 = "(?i)" + pattern(["exhibit 13", "exhibit no 13", "exhibit no. 13", "exhibit no.13"])
+INTERNAL = ["index to financial statements", "index to the financial statements", "index to consolidated financial statements", "index to the consolidated financial statements", "item 14", "item 15", "following the signature", "follows the signature", "elsewhere in", "elsewhere herein"]
+INTERNAL += [f"this {a}report on form {f}" for a in ("", "annual ") for f in ("10-k", "10k")]
+INTERNAL_POINTER = rf"(?i)\bF-\d|{pattern(INTERNAL)}"
 
 
 def signal_columns(body: Column) -> dict[str, Column]:
