@@ -2,12 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,30 +167,29 @@ def compare_hashes(a: DataFrame, b: DataFrame, key: list[str], value: str) -> Da
     return j.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
-def _canonical(row: dict) -> str:
-    def plain(v):
-        if v is None or isinstance(v, (bool, str)):
-            return v
-        if isinstance(v, (list, tuple, np.ndarray)):
-            return [plain(x) for x in v]
-        if isinstance(v, float):
-            return None if v != v else v
-        return v.item() if hasattr(v, "item") else v
+def canonical(rows: DataFrame) -> Column:
+    """A row as one string: its columns in order of name, nulls told from empty texts, numbers with six decimals.
 
-    return json.dumps({k: plain(v) for k, v in row.items() if k not in VERSIONS}, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+    Version stamps don't count.
+    """
+    parts = []
+    for f in sorted(rows.schema.fields, key=lambda f: f.name):
+        if f.name in VERSIONS:
+            continue
+        c, kind = F.col(f.name), f.dataType.simpleString()
+        if kind in ("float", "double"):
+            text = F.when(F.isnan(c), "nan").otherwise(F.coalesce(c.try_cast("decimal(28,6)").cast("string"), c.cast("string")))
+        elif kind.startswith("array"):
+            text = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: F.coalesce(F.concat(F.lit("="), x.cast("string")), F.lit("~"))), ","), F.lit("]"))
+        else:
+            text = c.cast("string")
+        parts.append(F.concat(F.lit(f.name), F.coalesce(F.concat(F.lit("="), text), F.lit("~"))))
+    return F.concat_ws("\x1f", *parts)
 
 
 def _row_hashes(rows: DataFrame, columns: list[str]) -> DataFrame:
     """The given columns of every row with ``h``, the SHA-256 of its canonical form."""
-    cols = rows.columns
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = [hashlib.sha256(_canonical(r).encode()).hexdigest() for r in b.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[b.column(cols.index(k)) for k in columns], pa.array(h, pa.string())], names=[*columns, "h"])
-
-    schema = ", ".join([*[f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in columns], "h string"])
-    return rows.mapInArrow(each, schema)
+    return rows.select(*columns, F.sha2(canonical(rows), 256).alias("h"))
 
 
 def document_hashes(nodes: DataFrame, key: list[str] = DOC, order: str = "node_id", rejected: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:

@@ -50,7 +50,7 @@ SELECT accession_number, nullif(regexp_replace(regexp_extract(h, '(?i)CENTRAL\s+
 trim(regexp_extract(h, '(?i)COMPANY\s+CONFORMED\s+NAME:\s*([^\r\n<]+)', 1)) AS company,
 upper(trim(regexp_extract(h, '(?i)CONFORMED\s+SUBMISSION\s+TYPE:\s*([^\r\n<]+)', 1))) AS form_type FROM h""")
 def header_fields(spark, d):
-    return S.header_fields(table(spark, d, "submissions").select("accession_number", "text").distinct(), ["accession_number"])
+    return S.header_fields(table(spark, d, "submissions").select("accession_number", "text"), ["accession_number"]).distinct()
 
 
 _SPLIT = r"""s AS (SELECT DISTINCT accession_number, text FROM submissions),
@@ -67,19 +67,19 @@ nullif(trim(regexp_extract(body, '(?i)<DESCRIPTION>\s*([^\r\n<]*)', 1)), '') AS
 t > 0 AND NOT regexp_matches(payload[:4096], '(?i)^\s*<(XML|PDF)>') AND regexp_matches(payload[:4096], '(?i)<!DOCTYPE\s+HTML|<\s*html\b|content-type[^>]*text/html|<\s*body\b|<\s*div\b|<\s*p\b|<\s*font\b|<ix:|xmlns:ix=') AS is_html,
 doc_start, doc_end, CASE WHEN t > 0 THEN doc_start + t + 5 ELSE -1 END::BIGINT AS text_start, CASE WHEN t > 0 THEN doc_start + t + 5 + length(payload) ELSE -1 END::BIGINT AS text_end FROM docs""")
 def split_documents(spark, d):
-    return S.split_documents(table(spark, d, "submissions").select("accession_number", "text").distinct(), ["accession_number"])
+    # Texts stay where they are: copies fall away among the offsets.
+    return S.split_documents(table(spark, d, "submissions").select("accession_number", "text"), ["accession_number"]).distinct()
 
 
 @query(rf"""WITH {_SPLIT} SELECT accession_number, block_no, sha256(payload) AS payload_sha256, length(payload)::BIGINT AS n_chars FROM docs""")
 def payload_hashes(spark, d):
-    s = table(spark, d, "submissions").select("accession_number", "text").distinct()
-    p = S.payloads(s, S.split_documents(s, ["accession_number"]))
-    return p.select("accession_number", "block_no", F.sha2("payload", 256).alias("payload_sha256"), F.length("payload").cast("long").alias("n_chars"))
+    x = S.split_documents(table(spark, d, "submissions").select("accession_number", "text"), ["accession_number"], F.sha2(F.coalesce("payload", F.lit("")), 256).alias("payload_sha256"), F.length("payload").cast("long").alias("n_chars"))
+    return x.select("accession_number", "block_no", "payload_sha256", "n_chars").distinct()
 
 
 @query("SELECT DISTINCT accession_number, true AS same_hash, true AS same_size FROM submissions")
 def input_hashes(spark, d):
-    s = table(spark, d, "submissions").select("accession_number", "text", "input_sha256", "input_bytes").distinct()
+    s = table(spark, d, "submissions").select("accession_number", "text", "input_sha256", "input_bytes")
     raw = F.encode("text", "ISO-8859-1")
     # A character is a byte: the text read as latin-1 gives back the very bytes that were hashed.
     return s.select("accession_number", (F.sha2(raw, 256) == F.col("input_sha256")).alias("same_hash"), (F.length(raw) == F.col("input_bytes")).alias("same_size")).distinct()
@@ -542,7 +542,16 @@ def run_meta_moves(spark, d):
     return A.meta_moves(_nodes(spark, d), rerun)
 
 
-@query(None)
+def _canonical_sql() -> str:
+    """The canonical form of a node row in SQL."""
+    kinds = {"confidence": "coalesce(TRY_CAST({c} AS DECIMAL(28,6))::VARCHAR, {c}::VARCHAR)", **{k: "'[' || array_to_string(list_transform({c}, lambda x: coalesce('=' || x::VARCHAR, '~')), ',') || ']'" for k in ("rule_ids", "path", "covers_items")}}
+    names = """accession_number agent_cik cik confidence covers_items depth doc_type grammar head_raw_end head_raw_start ibr_target ibr_target_in_submission item_cross_reference item_incorporated_by_reference label_canon
+    label_raw level_kind meta node_id norm_end norm_start order_key parent_id path path_str profile_era profile_publisher raw_end raw_start rule_ids satisfies_item segment sequence title""".split()
+    return " || chr(31) || ".join(f"'{c}' || coalesce('=' || {kinds.get(c, '{c}::VARCHAR').format(c=c)}, '~')" for c in names)
+
+
+@query(f"""WITH h AS (SELECT DISTINCT accession_number, sequence, node_id, sha256({_canonical_sql()}) AS h FROM nodes)
+SELECT accession_number, sequence, sha256(array_to_string(['nodes'] || list(h ORDER BY node_id NULLS FIRST, h) || ['rejected'], chr(10))) AS output_sha256, count(*) AS n_nodes, 0::BIGINT AS n_rejected FROM h GROUP BY ALL""")
 def document_hashes(spark, d):
     return A.document_hashes(table(spark, d, "nodes"))
 

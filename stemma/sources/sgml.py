@@ -86,9 +86,10 @@ def _field(body: Column, name: str) -> Column:
     return F.nullif(F.trim(F.regexp_extract(body, rf"(?i)<{name}>\s*([^\r\n<]*)", 1)), F.lit(""))
 
 
-def split_documents(df: DataFrame, key: list[str]) -> DataFrame:
+def split_documents(df: DataFrame, key: list[str], *more: Column) -> DataFrame:
     """One row per document block: key, block_no, sequence, doc_type, filename, description, is_html and offsets.
 
+    ``more`` are columns made from ``payload``, the text of the block.
     A sequence that isn't all digits is null; a block without payload has -1 for its text offsets.
     """
     x = df.select(*key, F.posexplode(finditer(F.col("text"), DOCUMENT)).alias("block_no", "m"))
@@ -110,6 +111,7 @@ def split_documents(df: DataFrame, key: list[str]) -> DataFrame:
         F.col("m.end").cast("long").alias("doc_end"),
         F.when(has, start).otherwise(-1).cast("long").alias("text_start"),
         F.when(has, start + F.length("payload")).otherwise(-1).cast("long").alias("text_end"),
+        *more,
     )
 
 
