@@ -6,9 +6,9 @@ import argparse
 
 from pyspark.sql import functions as F
 
-from stemma.operators import analytics, review
+from stemma.operators import analytics, library, review
 from stemma.session import build_session
-from stemma.sources import manifest, runs, sgml
+from stemma.sources import control, manifest, runs, sgml
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -16,10 +16,10 @@ def _parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     add = lambda name, *opts: [s.add_argument(*o[0], **o[1]) for s in [sub.add_parser(name)] for o in opts]
     arg = lambda *n, **k: (n, k)
-    add("parse", arg("raw"), arg("run"), arg("--overwrite", action="store_true"), arg("--keep-text", action="store_true"))
+    add("parse", arg("raw"), arg("run"), arg("--overwrite", action="store_true"), arg("--keep-text", action="store_true"), arg("--kind", choices=["10k", "10q", "ex10", "ex13", "text"]), arg("--limit", type=int))
     add("manifest", arg("index"), arg("out"), arg("--forms", default="10-K-family"), arg("--years"), arg("--amendments", action="store_true"))
     add("show", arg("run"), arg("accession"), arg("sequence", type=int))
-    add("report", arg("run"))
+    add("report", arg("run"), arg("--worst", type=int, default=0))
     add("sections", arg("run"), arg("raw"), arg("out"), arg("labels", nargs="+"))
     add("diff", arg("run_a"), arg("run_b"))
     add("hashes", arg("run"), arg("out"))
@@ -36,6 +36,12 @@ def main(argv: list[str] | None = None) -> None:
         s = sgml.read_submissions(spark, a.raw)
         yy = F.regexp_extract("accession_number", r"^\d{10}-(\d{2})-", 1).try_cast("int")
         s = s.select("accession_number", F.lit(None).cast("string").alias("cik"), F.when(yy > 50, yy + 1900).otherwise(yy + 2000).alias("year"), "text")
+        if a.kind:
+            bare = control.fixture_rows(s.select(F.col("accession_number").alias("path")), "").select(F.col("archive_path").alias("accession_number"), F.col("accession_number").alias("acc"), "sequence")
+            s = s.join(bare, "accession_number").drop("accession_number").withColumnRenamed("acc", "accession_number") if a.kind == "text" else s
+            s = s.withColumn("kind", F.lit(a.kind))
+        if a.limit:
+            s = s.orderBy("accession_number").limit(a.limit)
         runs.write_run(s, a.run, overwrite=a.overwrite, keep_text=a.keep_text)
     elif a.command == "manifest":
         rows = manifest.parse_index(spark.read.text(a.index))
@@ -51,7 +57,10 @@ def main(argv: list[str] | None = None) -> None:
         docs = read(a.run, "documents")
         years = docs.select("accession_number", F.coalesce("filed_year", F.col("year").cast("int")).alias("filed_year"))
         for quarterly in (False, True):
-            analytics.summarize(analytics.document_metrics(read(a.run, "nodes"), years, quarterly, docs), ["filed_year"]).orderBy("filed_year").show(200)
+            metrics = analytics.document_metrics(read(a.run, "nodes"), years, quarterly, docs)
+            analytics.summarize(metrics, ["filed_year"]).orderBy("filed_year").show(200)
+            if a.worst:
+                library.worst_documents(metrics, a.worst).show(a.worst, truncate=60)
     elif a.command == "sections":
         texts = sgml.read_submissions(spark, a.raw).select("accession_number", "text")
         analytics.sections(read(a.run, "nodes"), a.labels, texts).write.mode("overwrite").parquet(a.out)

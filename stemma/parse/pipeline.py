@@ -44,6 +44,7 @@ NESTED = pa.schema([("nodes", pa.list_(pa.struct(list(NODES)))), ("rejected", pa
 _DOC = regex.compile(r"<DOCUMENT>(.*?)</DOCUMENT>", regex.I | regex.S)
 _HTML, _IX, _OTHER = (regex.compile(p) for p in (S.HTML_SIGN, S.IX_SIGN, S.OTHER_WRAPPER))
 _IX_HEADER = regex.compile(S.IX_HEADER)
+_BINARY = regex.compile(S.BINARY_NAME)
 _SIGNALS = {k: regex.compile(p, regex.I) for k, p in P.SIGNALS.items()}
 _ABS = [regex.compile(p, regex.I) for p in P.ABS_WORDS]
 _ABS_NAME = regex.compile(P.ABS_NAME, regex.I)
@@ -208,20 +209,37 @@ def rows_of(r: dict, head: dict, doc: dict, prof: dict, grammar: str, keep_text:
     return nodes, rejected, document
 
 
-def parse_submission(accession: str, cik: str | None, year: int | None, text: str, keep_text: bool = False) -> tuple[list[dict], list[dict], list[dict]]:
-    """All text documents of one submission."""
+def chosen(docs: list[dict], kind: str | None, sequence: int | None, form: str) -> list[dict]:
+    """The documents that a work row asks for: all, one exhibit by its sequence, or the main document of a form."""
+    texts = [d for d in docs if d["start"] >= 0]
+    if kind is None:
+        return texts
+    if kind in ("ex10", "ex13") and sequence is not None:
+        return [d for d in texts if d["sequence"] == sequence][:1]
+    st = form.strip().upper()
+    base = st.removesuffix("/A")
+    head, dash, tail = base.partition("-")
+    ranks = (lambda t: t == st, lambda t: t == base, lambda t: t.startswith(head + dash + tail[:1]), lambda t: True)
+    usable = [d for d in texts if not _BINARY.search(d["filename"] or "")]
+    return next(([d] for rank in ranks for d in usable if rank((d["doc_type"] or "").upper())), [])
+
+
+def parse_submission(accession: str, cik: str | None, year: int | None, text: str, keep_text: bool = False, kind: str | None = None, sequence: int | None = None, form: str | None = None) -> tuple[list[dict], list[dict], list[dict]]:
+    """The documents of one submission: all that have text, or those that ``kind`` asks for.
+
+    ``text`` as kind means a bare file without envelope: it is one EX-10 document, so its offsets are those of the file.
+    """
     raw = text.encode("latin-1", "replace")
     h = regex.search(r"<(SEC-HEADER|IMS-HEADER)>(.*?)</\1>", text, regex.I | regex.S)
     header = h[2] if h else ""
     field = lambda p: (lambda m: m[1].strip() if m else "")(regex.search(p, header, regex.I))
     digits = field(r"CENTRAL\s+INDEX\s+KEY:\s*(\d+)")
-    docs = split(text)
+    docs = split(text) if kind != "text" else [{"sequence": sequence, "doc_type": "EX-10", "filename": None, "payload": text, "start": 0, "is_html": False}]
     head = {"accession_number": accession, "cik": (digits.lstrip("0") or "0") if digits else cik, "manifest_cik": cik, "year": year, "sha": hashlib.sha256(raw).hexdigest(), "size": len(raw), "has_ex13": any((d["doc_type"] or "").upper().startswith("EX-13") for d in docs)}
     nodes, rejected, documents = [], [], []
-    for d in docs:
-        if d["start"] < 0:
-            continue
-        grammar = route(d["doc_type"], field(r"CONFORMED\s+SUBMISSION\s+TYPE:\s*([^\r\n<]+)"))
+    header_type = field(r"CONFORMED\s+SUBMISSION\s+TYPE:\s*([^\r\n<]+)")
+    for d in docs if kind == "text" else chosen(docs, kind, sequence, form or header_type or "10-K"):
+        grammar = route(d["doc_type"], header_type)
         try:
             prof = profile_of(accession, cik, field(r"COMPANY\s+CONFORMED\s+NAME:\s*([^\r\n<]+)"), d)
             r = parse(d, grammar, prof["era"], (d["doc_type"] or "").upper().startswith("EX-13"))
@@ -230,7 +248,7 @@ def parse_submission(accession: str, cik: str | None, year: int | None, text: st
             rejected += b
             documents.append(c)
         except Exception as e:  # noqa: BLE001
-            documents.append({"accession_number": accession, "cik": head["cik"], "sequence": d["sequence"], "doc_type": d["doc_type"], "grammar": grammar, "error": repr(e)[:500], "input_sha256": head["sha"], "input_bytes": head["size"], "manifest_cik": cik, "parser_version": PARSER_VERSION, "normalizer_version": NORMALIZER_VERSION})
+            documents.append({"accession_number": accession, "cik": head["cik"], "sequence": d["sequence"] or 0, "doc_type": d["doc_type"], "grammar": grammar, "error": repr(e)[:500], "input_sha256": head["sha"], "input_bytes": head["size"], "manifest_cik": cik, "parser_version": PARSER_VERSION, "normalizer_version": NORMALIZER_VERSION})
     return nodes, rejected, documents
 
 
@@ -244,7 +262,7 @@ def _run(keep_text: bool):
             for row in b.to_pylist():
                 if not row["text"]:
                     continue
-                n, r, d = parse_submission(row["accession_number"], row["cik"], row["year"], row["text"], keep_text)
+                n, r, d = parse_submission(row["accession_number"], row["cik"], row["year"], row["text"], keep_text, row["kind"], row["sequence"], row["submission_type"])
                 yield pa.RecordBatch.from_pylist([{"nodes": _fill(n, NODES), "rejected": _fill(r, REJECTED), "documents": _fill(d, DOCUMENTS)}], schema=NESTED)
 
     return run
@@ -253,9 +271,11 @@ def _run(keep_text: bool):
 def parse_submissions(submissions: DataFrame, keep_text: bool = False) -> DataFrame:
     """One row per submission (accession_number, cik, year, text) with its nodes, rejected and documents as arrays.
 
-    Write this once and take the three tables from it with ``table_of``.
+    Columns kind (10k, 10q, ex10, ex13, text), sequence and submission_type, where present, say which document a row
+    asks for.  Write this once and take the three tables from it with ``table_of``.
     """
-    return submissions.select("accession_number", "cik", F.col("year").cast("int").alias("year"), "text").mapInArrow(_run(keep_text), from_arrow_schema(NESTED))
+    asked = [F.col(c).cast(t).alias(c) if c in submissions.columns else F.lit(None).cast(t).alias(c) for c, t in (("kind", "string"), ("sequence", "int"), ("submission_type", "string"))]
+    return submissions.select("accession_number", "cik", F.col("year").cast("int").alias("year"), "text", *asked).mapInArrow(_run(keep_text), from_arrow_schema(NESTED))
 
 
 def table_of(parsed: DataFrame, name: str) -> DataFrame:

@@ -11,6 +11,7 @@ from stemma.operators import analytics as A
 from stemma.operators import candidates as C
 from stemma.operators import profile as P
 from stemma.operators import tree as T
+from stemma.sources import control
 from stemma.sources import manifest as M
 from stemma.sources import sgml as S
 from stemma.session import materialize, table
@@ -730,3 +731,32 @@ def norm_to_raw(spark, d):
 
     c = table(spark, d, "candidates").select(*DOC, "cand_no", F.col("norm_start").alias("p")).where("p is not null").distinct()
     return B.norm_to_raw(c, _blocks(spark, d).where("norm_start is not null"), "p").select(*DOC, "cand_no", "raw")
+
+
+# ---------------------------------------------------------------- where things are
+
+
+@query("""SELECT DISTINCT accession_number, cik, 'archives/edgar/data/' || TRY_CAST(cik AS BIGINT) || '/' || accession_number || '.txt' AS relative_path,
+CASE WHEN archive_path IS NOT NULL THEN '/data/' || CASE WHEN starts_with(archive_path, 'archives/') THEN 'mirror/' || substr(archive_path, 10) ELSE archive_path END END AS local_path FROM manifest""")
+def archive_paths(spark, d):
+    """Places of filings under the data root, and stored paths on this machine."""
+    m = table(spark, d, "manifest").select("accession_number", "cik", "archive_path").distinct()
+    here = control.rewrite_path(F.col("archive_path"), "/data", [("archives/", "mirror/")])
+    return m.select("accession_number", "cik", control.relative_archive_path(F.col("accession_number"), F.col("cik")).alias("relative_path"), here.alias("local_path")).distinct()
+
+
+@query("SELECT accession_number, (min({'y': year, 'c': cik})).c AS cik FROM manifest GROUP BY 1")
+def index_ciks(spark, d):
+    m = table(spark, d, "manifest").select("cik", F.col("year").alias("filed_date"), F.lit("").alias("company_name"), F.concat(F.lit("x/"), "accession_number", F.lit(".txt")).alias("source_path"))
+    return control.index_ciks(m).select("accession_number", "cik")
+
+
+@query("""SELECT accession_number, (min({'s': coalesce(sequence, 2147483647), 'h': coalesce(is_html, false)})).h AS is_html FROM document_blocks WHERE doc_type IN ('10-K', '10-Q', '10-K405') GROUP BY 1""")
+def primary_html(spark, d):
+    return control.primary_is_html(table(spark, d, "document_blocks"), ["10-K", "10-Q", "10-K405"])
+
+
+@query("""SELECT DISTINCT accession_number, sha1(concat_ws(chr(31), '10k', archive_path, accession_number, 'type ' || coalesce(submission_type, '10-K'))) AS row_key FROM manifest""")
+def work_keys(spark, d):
+    m = table(spark, d, "manifest")
+    return m.select("accession_number", control.row_key(F.lit("10k"), F.col("archive_path"), F.col("accession_number"), F.lit(None), F.col("submission_type")).alias("row_key")).distinct()

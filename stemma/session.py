@@ -8,6 +8,7 @@ local temporary folder is used instead.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -50,6 +51,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
+_WRITTEN: list[Materialized] = []
+
+
+def drop_written() -> None:
+    """Remove every intermediate table of this process; called at its end."""
+    while _WRITTEN:
+        try:
+            _WRITTEN.pop().drop()
+        except Exception:  # noqa: BLE001 - the session may be gone already
+            return
+
+
 class Materialized:
     """A written intermediate table; ``drop`` removes its files once nothing reads them."""
 
@@ -68,4 +81,8 @@ def materialize(df: DataFrame, name: str) -> Materialized:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/stemma-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return Materialized(spark, path, df.schema)
+    out = Materialized(spark, path, df.schema)
+    if not _WRITTEN:
+        atexit.register(drop_written)
+    _WRITTEN.append(out)
+    return out

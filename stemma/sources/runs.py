@@ -23,21 +23,28 @@ def finished_parts(spark: SparkSession, run: str, part: str = "year") -> DataFra
     return spark.read.parquet(f"{run}/documents").select(F.col(part).cast("int").alias(part)).distinct()
 
 
+#: Rows of one output file at most; a large partition is written by as many tasks as it has such portions.
+ROWS_PER_FILE = 1_000_000
+
+
 def write_run(submissions: DataFrame, run: str, part: str = "year", overwrite: bool = False, keep_text: bool = False) -> None:
     """Parse submissions and add their tables to a run; partitions that are there are skipped unless overwritten.
 
-    The parse is done once and kept in the shared folder; each table is then written with its rows sorted by key.
+    The parse is done once and kept in the shared folder.  Each table is then written with its rows sorted by key;
+    a partition that is written replaces what a broken try may have left of it.  The documents table, which tells what
+    is finished, is written last.
     """
     spark = submissions.sparkSession
     todo = submissions if overwrite else submissions.join(finished_parts(spark, run, part), part, "left_anti")
     parsed = materialize(parse_submissions(todo, keep_text).withColumn(part, F.try_element_at("documents.filed_year", F.lit(1))), "parsed")
-    for name, key in TABLES.items():
+    for name in ("nodes", "rejected", "documents"):
         rows = parsed.df.select(part, F.explode(name).alias("r")).select(part, "r.*")
         (
-            rows.repartition(part, F.pmod(F.xxhash64("accession_number"), F.lit(16)))
-            .sortWithinPartitions(part, *key)
-            .write.mode("overwrite" if overwrite else "append")
+            rows.repartition(part, "accession_number")
+            .sortWithinPartitions(part, *TABLES[name])
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
+            .option("maxRecordsPerFile", ROWS_PER_FILE)
             .option("compression", "zstd")
             .partitionBy(part)
             .parquet(f"{run}/{name}")
@@ -57,19 +64,27 @@ def document_rows(spark: SparkSession, run: str, accession: str, sequence: int)
 
 
 def cached_parse(submissions: DataFrame, cache: str) -> DataFrame:
-    """Nodes of submissions; those whose accession number, text and parser version are in the cache aren't parsed again."""
+    """Nodes of submissions; those whose accession number, text and parser version are in the cache aren't parsed again.
+
+    ``CACHE/status`` tells of every submission of the last call whether it was found ('hit') or parsed ('miss').
+    """
     spark, key = submissions.sparkSession, ["accession_number", "input_sha256"]
     keyed = submissions.withColumn("input_sha256", F.sha2(F.encode("text", "ISO-8859-1"), 256))
-    if exists(spark, cache):
-        hit = spark.read.parquet(cache).where(F.col("parser_version") == PARSER_VERSION)
-        fresh = keyed.join(hit.select(*key).distinct(), key, "left_anti")
+    rows = f"{cache}/nodes"
+    if exists(spark, rows):
+        hit = spark.read.parquet(rows).where(F.col("parser_version") == PARSER_VERSION)
+        known = hit.select(*key).distinct()
+        fresh = keyed.join(known, key, "left_anti")
         old = hit.join(keyed.select(*key).distinct(), key, "left_semi").drop("input_sha256")
+        state = keyed.select(*key).distinct().join(known.withColumn("norm_cache", F.lit("hit")), key, "left")
     else:
-        fresh, old = keyed, None
+        fresh, old, state = keyed, None, keyed.select(*key).distinct().withColumn("norm_cache", F.lit(None).cast("string"))
+    state = materialize(state.withColumn("norm_cache", F.coalesce("norm_cache", F.lit("miss"))), "status").df
     new = materialize(parse_submissions(fresh).select(F.col("documents")[0]["input_sha256"].alias("input_sha256"), F.explode("nodes").alias("r")).select("input_sha256", "r.*"), "fresh").df
     out = new.drop("input_sha256") if old is None else old.unionByName(new.drop("input_sha256"))
     kept = materialize(out, "cached").df
-    new.write.mode("append").parquet(cache)
+    new.write.mode("append").parquet(rows)
+    state.write.mode("overwrite").parquet(f"{cache}/status")
     return kept
 
 
