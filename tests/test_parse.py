@@ -174,8 +174,48 @@ def test_article_restart_behind_many_section_restarts():
     from stemma.parse.headings import Candidate
 
     cand = lambda kind, order, at: Candidate(0, kind, "", "", "", 0.9, [], order, at, at + 5, at)
-    cands = [cand("article", 1, 0), *[cand("section", 101 + i % 3, 10 + 10 * i) for i in range(120)]]
+    cands = [cand("article", 1, 0), *[cand("section", 101 + i % 4, 10 + 10 * i) for i in range(160)]]
     lines = [("word " * 60, 2000, 0.0), ("/s/ John Doe", 2300, 0.1), ("LOAN AGREEMENT", 2400, 1.0)]
     blocks = [Block(i, t, at, at + len(t), caps_ratio=caps) for i, (t, at, caps) in enumerate(lines)]
     cuts, borders = outline.restarts(blocks, [*cands, cand("article", 1, 3000)], [])
     assert 3000 in cuts and borders == [3000] and len(cuts) == outline.MAX_SEGMENTS - 1
+
+
+def test_section_restarts_rise_below_the_highest_so_far():
+    from stemma.parse import outline
+    from stemma.parse.headings import Candidate
+
+    def cuts(orders, **kw):
+        cands = [Candidate(0, "section", "", "", kw.get("title", "T"), kw.get("score", 0.9), list(kw.get("rules", [])), o, 10 * i, 10 * i + 5, 10 * i) for i, o in enumerate(orders)]
+        return outline.restarts([], cands, [])[0]
+
+    assert cuts([101, 102, 103, 104, 101, 102, 103]) == [40]
+    assert cuts([101, 102, 103, 101, 102, 103]) == []  # the third doesn't stay below the highest
+    assert cuts([101, 102, 103, 104, 101, 102]) == [] and cuts([]) == []
+    assert cuts([101, 102, 103, 104, 101, 102, 103], rules=["pos.in_table"], title="") == []
+    assert cuts([101, 102, 103, 104, 101, 102, 103], rules=["toc.leader_or_pageno"]) == []
+
+
+def test_instruments_and_their_evidence():
+    from stemma.parse import outline
+    from stemma.parse.blocks import Block
+
+    assert outline.instrument_name("SECURITY AGREEMENT") == "SECURITY AGREEMENT" and outline.instrument_name("the agreement") is None
+    assert outline.named_in_words('This Loan Agreement (the "Agreement") is made') == "LOAN AGREEMENT"
+    texts = ["The Borrower pays. " + "some words of prose here " * 12, "/s/ A. Name", "PLEDGE AGREEMENT", "The Pledgor and the Lender agree"]
+    blocks = [Block(i, t, 100 * i, 100 * i + 50) for i, t in enumerate(texts)]
+    s = outline.Story(blocks)
+    assert s.prose_between(-1, 50) and not s.prose_between(50, 400) and s.opens_instrument(50, 400)
+    assert s.evidence(50, 400) == ["seg.prior_closed", "seg.new_title", "seg.new_parties"]
+    assert s.evidence(150, 250) == ["seg.new_title"]
+
+
+def test_clauses_outside_sections():
+    body = "\n\n".join(f"({x}) the {w} part of this schedule" for x, w in zip("abc", ("first", "second", "third")))
+    text = f"LEASE\n\nARTICLE I\n\nTERM\n\n1.01 Rent. The tenant pays the rent in March of every year.\n\nARTICLE II\n\nSCHEDULE A\n\n{body}\n"
+    nodes, rejected, _ = items(text, "EX-10.1")
+    kept = [n for n in nodes if n["level_kind"].startswith("clause")]
+    assert [n["label_canon"] for n in kept] == ["(a)", "(b)", "(c)"]
+    recital = "WHEREAS, the parties agree as they do\n\n" + "\n\n".join(f"({x}) so they have said to all" for x in "abc")
+    nodes, rejected, _ = items("LEASE\n\n" + recital + "\n\nARTICLE I\n\nTERM\n\n1.01 Rent. The tenant pays the rent.\n", "EX-10.1")
+    assert sum(r["reason"] == "clause_outside_section" for r in rejected) == 3
