@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import pyarrow as pa
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,6 +31,43 @@ def finditer(text: Column, pattern: str) -> Column:
     return F.aggregate(whole, start, step, lambda acc: acc["out"])
 
 
+def match_rows(df: DataFrame, keys: list[str], text: str, pattern: str) -> DataFrame:
+    """One row per match of a pattern: ``keys``, start, end, match; linear in the text, however many matches it has.
+
+    For texts with few matches ``finditer`` stays in the JVM; this goes once through Arrow.  Null texts have none.
+    """
+    find = regex.compile(pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hits = [(i, m.start(), m.end(), m[0]) for i, t in enumerate(b.column(b.num_columns - 1).to_pylist()) if t for m in find.finditer(t)]
+            at, start, end, match = zip(*hits) if hits else ((),) * 4
+            cols = [b.column(k).take(pa.array(at, pa.int64())) for k in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(match, pa.string())], names=[*keys, "start", "end", "match"])
+
+    schema = ", ".join([*[f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys], "start int, end int, match string"])
+    return df.select(*keys, text).mapInArrow(run, schema)
+
+
+def line_rows(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """One row per line: ``keys``, line_no from 0, line_start, line_length; an empty text has one empty line, a null none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, t in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                at = 0
+                for n, line in enumerate(t.split("\n") if t is not None else ()):
+                    rows.append((i, n, at, len(line)))
+                    at += len(line) + 1
+            row, number, start, size = zip(*rows) if rows else ((),) * 4
+            cols = [b.column(k).take(pa.array(row, pa.int64())) for k in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*cols, *[pa.array(x, pa.int32()) for x in (number, start, size)]], names=[*keys, "line_no", "line_start", "line_length"])
+
+    schema = ", ".join([*[f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys], "line_no int, line_start int, line_length int"])
+    return df.select(*keys, text).mapInArrow(run, schema)
+
+
 def caps_ratio(text: Column) -> Column:
     """Share of letters that are capitals; 0 without letters."""
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from stemma.functions import labels as L
 
@@ -254,22 +259,56 @@ def contract_stats(nodes: DataFrame) -> DataFrame:
 def score_places(found: DataFrame, truth: DataFrame, key: list[str], at: str, tolerance: int = 50) -> DataFrame:
     """One-to-one matches of equal keys at most ``tolerance`` apart: hits, false finds and misses per document.
 
-    Both sides of a key are taken in order of place, so the greedy match needs no pairs: each true place takes
-    the first free found place within reach.
+    ``key`` begins with the two columns of the document.  The places of a key are merged in order, and each true place
+    takes the first free found place within reach, which gives the most matches; equal places count each for itself.
+    Nulls in a key meet nulls.  Null places match nothing.
     """
-    f = found.select(*key, F.col(at).alias("at")).withColumn("side", F.lit(0))
-    t = truth.select(*key, F.col(at).alias("at")).withColumn("side", F.lit(1))
-    g = f.unionByName(t).groupBy(*key).agg(F.array_sort(F.collect_list(F.when(F.col("side") == 0, F.col("at")))).alias("f"), F.array_sort(F.collect_list(F.when(F.col("side") == 1, F.col("at")))).alias("t"))
-
-    def one(acc, true_at):
-        free = F.filter(acc["left"], lambda x: F.abs(x - true_at) <= tolerance)
-        hit = F.size(free) > 0
-        rest = F.when(hit, F.array_except(acc["left"], F.slice(free, 1, 1))).otherwise(acc["left"])
-        return F.struct(rest.alias("left"), (acc["tp"] + hit.cast("int")).alias("tp"))
-
-    start = F.struct(F.array_distinct("f").alias("left"), F.lit(0).alias("tp"))
-    tp = F.aggregate("t", start, one, lambda a: a["tp"])
-    return g.withColumn("tp", tp).groupBy(*key[:2]).agg(F.sum("tp").alias("tp"), F.sum(F.size("f") - F.col("tp")).alias("fp"), F.sum(F.size("t") - F.col("tp")).alias("fn"))
+    f = found.select(*key, F.col(at).cast("long").alias("at"), F.lit(False).alias("true"))
+    t = truth.select(*key, F.col(at).cast("long").alias("at"), F.lit(True).alias("true"))
+    doc = key[:2]
+    both = f.unionByName(t).repartition(*key).sortWithinPartitions(*key, "at", "true")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting, tally = None, deque(), [0, 0, 0]
+        sums: dict[tuple, list[int]] = {}
+
+        def rows(docs: list[tuple]) -> pa.RecordBatch:
+            heads = [pa.array([d[i] for d in docs], both_schema.field(i).type) for i in range(2)]
+            return pa.RecordBatch.from_arrays([*heads, *[pa.array([sums[d][k] for d in docs], pa.int64()) for k in range(3)]], names=[*doc, "tp", "fp", "fn"])
+
+        def close() -> None:
+            if now is not None:
+                for place, is_true in waiting:
+                    tally[2 if is_true else 1] += 1
+                own = sums.setdefault(now[:2], [0, 0, 0])
+                for k in range(3):
+                    own[k] += tally[k]
+
+        for b in batches:
+            cols = [b.column(i).to_pylist() for i in range(b.num_columns)]
+            for *k, place, is_true in zip(*cols):
+                if tuple(k) != now:
+                    close()
+                    now, tally = tuple(k), [0, 0, 0]
+                    waiting = deque()
+                while waiting and (place is None or place - waiting[0][0] > tolerance):
+                    tally[2 if waiting.popleft()[1] else 1] += 1
+                if place is None:
+                    tally[2 if is_true else 1] += 1
+                elif waiting and waiting[0][1] != is_true:
+                    waiting.popleft()
+                    tally[0] += 1
+                else:
+                    waiting.append((place, is_true))
+            # Documents come in order: all but the one at hand are done.
+            yield rows([d for d in sums if d != now[:2]])
+            sums = {d: n for d, n in sums.items() if d == now[:2]}
+        close()
+        yield rows(list(sums))
+
+    both_schema = to_arrow_schema(both.schema)
+    kinds = ", ".join(f"`{c}` {both.schema[c].dataType.simpleString()}" for c in doc)
+    return both.mapInArrow(run, f"{kinds}, tp bigint, fp bigint, fn bigint").groupBy(*doc).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
 
 
 def anchor_status(anchors: DataFrame, nodes: DataFrame, rejected: DataFrame, at: str) -> DataFrame:

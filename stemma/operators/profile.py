@@ -101,10 +101,13 @@ def era(is_html: Column, ixbrl: Column, family: Column, sig) -> Column:
     )
 
 
-def profiles(docs: DataFrame, company: str | None = None) -> DataFrame:
-    """Publisher, era and asset-backed flag of every document (accession_number, cik, sequence, is_html, payload)."""
-    keep = ["accession_number", "cik", "block_no", "is_html"]
-    s = signals(docs.withColumn("ix", is_inline_xbrl(F.col("payload"))), [*keep, "ix"], "payload", company)
+def profiles(docs: DataFrame, owners: DataFrame) -> DataFrame:
+    """Publisher, era and asset-backed flag of every document (accession_number, block_no, is_html, payload).
+
+    ``owners`` has accession_number, cik and company.  Signals are counted where the payload is; only the counts move.
+    """
+    s = signals(docs.withColumn("ix", is_inline_xbrl(F.col("payload"))), ["accession_number", "block_no", "is_html", "ix"]).distinct().join(owners, "accession_number", "left")
+    named = F.coalesce(F.col("company").rlike("(?i)" + ABS_NAME), F.lit(False)).cast("int")
     sig = {c: F.col(c) for c in s.columns}
     s = s.withColumn("publisher", publisher(F.col("accession_number"), F.col("cik"), sig))
     return s.select(
@@ -113,7 +116,7 @@ def profiles(docs: DataFrame, company: str | None = None) -> DataFrame:
         F.substring("accession_number", 1, 10).alias("agent_cik"),
         "publisher",
         era(F.col("is_html"), F.col("ix"), F.col("publisher"), sig).alias("era"),
-        is_structured(F.col("reg_ab_specific"), F.col("reg_ab_name")).alias("is_abs"),
+        is_structured(F.col("reg_ab_specific"), named).alias("is_abs"),
     )
 
 

@@ -168,6 +168,20 @@ class _Style:
     pre: bool = False
 
 
+def without_back_links(runs: list[tuple]) -> list[tuple]:
+    """Runs without a link back to the contents that hangs at the start or the end of other text."""
+    told = [i for i, r in enumerate(runs) if r[0].strip()]
+    links = [bool(runs[i][3].href) for i in told]
+    if all(links) or not any(links):
+        return runs
+    first, last = links.index(False), len(links) - 1 - links[::-1].index(False)
+    gone: set[int] = set()
+    for group in (told[:first], told[last + 1 :]):
+        if group and BACK_LINK.match(" ".join("".join(runs[i][0] for i in group).split())):
+            gone.update(group)
+    return [r for i, r in enumerate(runs) if i not in gone]
+
+
 class _Builder:
     def __init__(self, base: int, image_text: bool) -> None:
         self.base, self.image_text = base, image_text
@@ -183,7 +197,7 @@ class _Builder:
         return self.stack[-1]
 
     def flush(self) -> None:
-        runs, self.runs, self.breaks = self.runs, [], 0
+        runs, self.runs, self.breaks = without_back_links(self.runs), [], 0
         if not any(t.strip() for t, *_ in runs):
             return
         lines, starts, ends = [], [], []

@@ -174,21 +174,41 @@ def stratified_sample(spark, d):
 
 
 def _payloads(spark, d):
-    s = table(spark, d, "submissions").select("accession_number", "text").distinct()
-    ciks = table(spark, d, "submissions").groupBy("accession_number").agg(F.max("cik").alias("cik"), F.max("company_name").alias("company"))
-    return S.payloads(s, S.split_documents(s, ["accession_number"])).join(ciks, "accession_number")
+    """Document blocks with their payload, cut where the submission is read; blocks of copies come again."""
+    return S.split_documents(table(spark, d, "submissions").select("accession_number", "text"), ["accession_number"], F.coalesce("payload", F.lit("")).alias("payload"))
+
+
+def _owners(spark, d):
+    return table(spark, d, "submissions").groupBy("accession_number").agg(F.max("cik").alias("cik"), F.max("company_name").alias("company"))
 
 
 @query(rf"""WITH {_SPLIT} SELECT accession_number, block_no, len(regexp_extract_all(payload, '(?i)<font\b'))::INTEGER AS font_tag, len(regexp_extract_all(payload, '(?i)<div\b'))::INTEGER AS div_tag,
 len(regexp_extract_all(payload, '(?i)<td\b'))::INTEGER AS td_tag, len(regexp_extract_all(payload, '(?i)<PAGE>'))::INTEGER AS page_mark, len(regexp_extract_all(payload, '(?i)<img\b'))::INTEGER AS img_tag,
 len(regexp_extract_all(payload, '(?i)<hr\b'))::INTEGER AS hr_tag, len(regexp_extract_all(payload, '(?i)Regulation\s+AB|Item\s+11\d\d\b|General Instruction J|as the Depositor|Issuing Entity|Servicing Criteria|Asset[- ]Backed'))::INTEGER AS reg_ab FROM docs""")
 def signal_counts(spark, d):
-    return P.signals(_payloads(spark, d), ["accession_number", "block_no"]).select("accession_number", "block_no", "font_tag", "div_tag", "td_tag", "page_mark", "img_tag", "hr_tag", "reg_ab")
-
-
-@query(None)
+    return P.signals(_payloads(spark, d), ["accession_number", "block_no"]).select("accession_number", "block_no", "font_tag", "div_tag", "td_tag", "page_mark", "img_tag", "hr_tag", "reg_ab").distinct()
+
+
+def _profile_sql() -> str:
+    n = lambda p: f"len(regexp_extract_all(payload, '(?i){p.replace(chr(39), chr(39) * 2)}'))"
+    few = ["workiva_comment", "activedisclosure_comment", "toppan_bridge_comment", "compsci_comment", "bowne_link2", "hidden_white_text", "font_tag", "div_tag", "img_tag"]
+    counts = ", ".join(f"{n(P.SIGNALS[k])} AS {k}" for k in few)
+    words = " + ".join(f"len(regexp_extract_all(payload[:{P.ABS_WINDOW}], '(?i){p}'))" for p in P.ABS_WORDS)
+    family = " ".join(f"WHEN agent IN ({', '.join(repr(a) for a in members)}) THEN '{name}'" for name, members in reversed(P.AGENTS.items()))
+    return rf"""WITH {_SPLIT}, o AS (SELECT accession_number, max(cik) AS cik, max(company_name) AS company FROM submissions GROUP BY 1),
+g AS (SELECT accession_number, block_no, substr(accession_number, 1, 10) AS agent, t > 0 AND NOT regexp_matches(payload[:4096], '(?i)^\s*<(XML|PDF)>') AND regexp_matches(payload[:4096], '{S.HTML_SIGN}|<ix:|xmlns:ix=') AS html,
+regexp_matches(payload[:{S.IX_CHARS}], '{S.IX_SIGN}') AS ix, {counts}, {words} AS abs_words FROM docs),
+f AS (SELECT g.*, company, CASE {family} WHEN TRY_CAST(agent AS BIGINT) = TRY_CAST(cik AS BIGINT) THEN 'self' ELSE 'other' END AS family FROM g LEFT JOIN o USING (accession_number)),
+p AS (SELECT *, CASE WHEN workiva_comment > 0 THEN 'workiva' WHEN activedisclosure_comment > 0 THEN 'activedisclosure' WHEN toppan_bridge_comment > 0 THEN 'toppan_bridge' WHEN compsci_comment > 0 THEN 'compsci'
+WHEN bowne_link2 > 0 AND family IN ('self', 'other') THEN 'bowne' ELSE family END AS publisher FROM f)
+SELECT DISTINCT accession_number, block_no, agent AS agent_cik, publisher, CASE WHEN NOT html THEN 'text' WHEN hidden_white_text >= 3 AND img_tag >= 3 THEN 'image_text' WHEN ix THEN 'ixbrl'
+WHEN publisher IN ('self', 'other') THEN CASE WHEN font_tag > div_tag THEN 'html_early' ELSE 'html_generic' END ELSE 'html_publisher' END AS era,
+abs_words >= 2 OR coalesce(regexp_matches(company, '(?i){P.ABS_NAME}'), false) AS is_abs FROM p"""
+
+
+@query(_profile_sql())
 def profiles(spark, d):
-    return P.profiles(_payloads(spark, d), "company")
+    return P.profiles(_payloads(spark, d), _owners(spark, d))
 
 
 @query(r"""WITH t AS (SELECT accession_number, max(text) AS text FROM submissions GROUP BY 1),
@@ -213,15 +233,7 @@ def stub_flags(spark, d):
 @query(rf"""WITH {_SPLIT}, l AS (SELECT accession_number, block_no, string_split(payload, chr(10)) AS ls FROM docs)
 SELECT accession_number, block_no, (k - 1)::INTEGER AS line_no, (coalesce(list_sum(list_transform(ls[1:k-1], lambda x: length(x) + 1)), 0))::INTEGER AS line_start, length(ls[k])::INTEGER AS line_length FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS k FROM l)""")
 def line_offsets(spark, d):
-    lines = F.split("payload", "\n", -1)
-    step = F.aggregate(
-        lines,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,size:int>>").alias("out")),
-        lambda a, x: F.struct((a["at"] + F.length(x) + 1).cast("int").alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].cast("int").alias("start"), F.length(x).cast("int").alias("size")))).alias("out")),
-        lambda a: a["out"],
-    )
-    p = _payloads(spark, d).select("accession_number", "block_no", F.posexplode(step).alias("line_no", "l"))
-    return p.select("accession_number", "block_no", "line_no", F.col("l.start").alias("line_start"), F.col("l.size").alias("line_length"))
+    return X.line_rows(_payloads(spark, d), ["accession_number", "block_no"], "payload").distinct()
 
 
 @query(rf"""WITH {_SPLIT}, l AS (SELECT accession_number, block_no, list_sort(list_filter(list_transform(string_split(payload, chr(10)), lambda x: length(rtrim(x))), lambda n: n >= 50)) AS n FROM docs)
@@ -229,7 +241,7 @@ SELECT accession_number, block_no, CASE WHEN len(n) = 0 THEN 80 ELSE greatest(70
 def page_widths(spark, d):
     n = F.sort_array(F.filter(F.transform(F.split("payload", "\n", -1), lambda x: F.length(F.rtrim(x))), lambda k: k >= 50))
     mid = F.try_element_at(n, (F.floor(F.size(n) / 2) + 1).cast("int"))
-    return _payloads(spark, d).select("accession_number", "block_no", F.when(F.size(n) == 0, 80).otherwise(F.greatest(F.lit(70), mid + 2)).cast("int").alias("width"))
+    return _payloads(spark, d).select("accession_number", "block_no", F.when(F.size(n) == 0, 80).otherwise(F.greatest(F.lit(70), mid + 2)).cast("int").alias("width")).distinct()
 
 
 @query(r"""SELECT DISTINCT accession_number, sequence, idx, length(text)::INTEGER AS n_chars, len(string_split(text, chr(10)))::INTEGER AS n_lines,
@@ -250,8 +262,8 @@ def clean_titles(spark, d):
 m AS (SELECT *, regexp_extract_all(text, '\d+(\.\d+)?%') AS ms, string_split_regex(text, '\d+(\.\d+)?%') AS gs FROM b)
 SELECT accession_number, sequence, idx, ms[k] AS hit, (list_sum(list_transform(gs[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:k-1], lambda g: length(g))), 0))::INTEGER AS hit_start FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM m)""")
 def match_offsets(spark, d):
-    b = table(spark, d, "blocks").select(*DOC, "idx", "text").where("text is not null").distinct()
-    return b.select(*DOC, "idx", F.explode(X.finditer(F.col("text"), r"\d+(?:\.\d+)?%")).alias("m")).select(*DOC, "idx", F.col("m.match").alias("hit"), F.col("m.start").alias("hit_start"))
+    hits = X.match_rows(table(spark, d, "blocks"), [*DOC, "idx"], "text", r"\d+(?:\.\d+)?%")
+    return hits.select(*DOC, "idx", F.col("match").alias("hit"), F.col("start").alias("hit_start")).distinct()
 
 
 # ---------------------------------------------------------------- labels
@@ -612,7 +624,15 @@ def contract_stats(spark, d):
     return A.contract_stats(_nodes(spark, d))
 
 
-@query(None)
+# A label has one place per document in most cases; the pairs of those that have more are matched in order, which the
+# two places nearest in rank show: the k-th of each side, for runs in which both sides lie within reach of each other.
+@query("""WITH f AS (SELECT DISTINCT accession_number, sequence, label_canon, head_raw_start AS p FROM nodes_rerun WHERE label_canon IS NOT NULL), t AS (SELECT DISTINCT accession_number, sequence, label_canon, head_raw_start AS p FROM nodes WHERE label_canon IS NOT NULL),
+e AS (SELECT *, false AS tr FROM f UNION ALL SELECT *, true FROM t),
+w AS (SELECT accession_number, sequence, label_canon, list({'p': p, 't': tr} ORDER BY p, tr) FILTER (p IS NOT NULL) AS es, count(*) FILTER (p IS NULL AND tr) AS nt, count(*) FILTER (p IS NULL AND NOT tr) AS nf FROM e GROUP BY ALL),
+m AS (SELECT *, list_reduce(list_prepend({'tp': 0, 'q': []::STRUCT(p BIGINT, t BOOLEAN)[]}, list_transform(coalesce(es, []), lambda x: {'tp': 0, 'q': [x]})), lambda a, b: CASE
+ WHEN len(list_filter(a.q, lambda y: b.q[1].p - y.p <= 50)) > 0 AND list_filter(a.q, lambda y: b.q[1].p - y.p <= 50)[1].t <> b.q[1].t
+ THEN {'tp': a.tp + 1, 'q': list_filter(a.q, lambda y: b.q[1].p - y.p <= 50)[2:]} ELSE {'tp': a.tp, 'q': list_append(list_filter(a.q, lambda y: b.q[1].p - y.p <= 50), b.q[1])} END).tp AS tp FROM w)
+SELECT accession_number, sequence, sum(tp)::BIGINT AS tp, sum(len(list_filter(coalesce(es, []), lambda x: NOT x.t)) + nf - tp)::BIGINT AS fp, sum(len(list_filter(coalesce(es, []), lambda x: x.t)) + nt - tp)::BIGINT AS fn FROM m GROUP BY 1, 2""")
 def place_scores(spark, d):
     pick = lambda n: n.where("label_canon is not null").select(*DOC, "label_canon", "head_raw_start").distinct()
     return A.score_places(pick(table(spark, d, "nodes_rerun")), pick(table(spark, d, "nodes")), [*DOC, "label_canon"], "head_raw_start")
