@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from stemma.operators import profile as P
-from stemma.parse import contents, headings, outline, trees
+from stemma.parse import contents, headings, outline, rows, trees
 from stemma.parse.blocks import html_blocks, text_blocks
 from stemma.parse.grammars import GRAMMARS
 from stemma.sources import sgml as S
@@ -122,13 +122,14 @@ def parse(doc: dict, grammar_name: str, era: str, synth_root: bool = False) -> d
     cands = headings.find(blocks, g, era)
     if not contract:
         headings.caption_lists(cands, norm)
-        headings.status_tables(cands, blocks)
+        rows.status_tables(cands, blocks)
     regions = contents.detect(blocks, cands, len(norm), contract)
     inside = {i for r in regions for i in range(r.first, r.last + 1)}
     headings.page_repeats(cands, blocks, inside)
     borders: list[int] = []
     if contract:
-        headings.contents_rows(cands, blocks, inside if era != "image_text" else set(range(len(cands))))
+        if era != "image_text":
+            rows.contents_rows(cands, blocks, inside)
         headings.section_references(cands, norm)
         cuts, borders = outline.restarts(blocks, cands, regions)
         nodes, dropped = trees.contract_tree(blocks, cands, regions, base, end, cuts)
