@@ -96,14 +96,22 @@ def primary_documents(spark, d):
     return S.primary_documents(_t(spark, d, "document_blocks"), forms)
 
 
-@query(r"""SELECT DISTINCT accession_number, block_no, doc_type FROM document_blocks WHERE regexp_matches(doc_type, '(?i)^EX-10([^0-9]|$)') AND text_start >= 0 AND text_end - text_start >= 5000
-AND NOT regexp_matches(coalesce(filename, ''), '(?i)\.(pdf|gif|jpg|jpeg|png|xls|xlsx|zip|xml|xsd|json)$')
-AND (regexp_matches(coalesce(description, ''), '(?i)\b(credit|loan|term loan|revolving|financing|facilit(y|ies))\b.*\bagreement\b') OR regexp_matches(coalesce(filename, ''), '(?i)credit|loan|facilit'))
-AND NOT regexp_matches(coalesce(filename, ''), '(?i)amend|waiver|joinder|consent|supplement|guarant|pledge|mortgage')
-AND (NOT regexp_matches(coalesce(description, ''), '(?i)\b(amendment|amended and restated amendment|joinder|waiver|consent|guarant\w*|pledge|security agreement|mortgage|supplement|letter|schedule|exhibit list|commitment)\b')
- OR (regexp_matches(coalesce(description, ''), '(?i)amended\s+and\s+restated') AND NOT regexp_matches(coalesce(description, ''), '(?i)\bamendment\b')))""")
+_CREDIT = r"""x AS (SELECT DISTINCT accession_number, block_no, doc_type, coalesce(regexp_matches(doc_type, '(?i)^EX-10([^0-9]|$)'), false) AS right_type,
+text_start >= 0 AND text_end - text_start >= 60000 AND NOT regexp_matches(coalesce(filename, ''), '(?i)\.(pdf|gif|jpg|jpeg|png|xls|xlsx|zip|xml|xsd|json)$') AS sized,
+regexp_matches(coalesce(description, ''), '(?i)\b(credit|loan|term loan|revolving|financing|facilit(y|ies))\b.*\bagreement\b') OR regexp_matches(coalesce(filename, ''), '(?i)credit|loan|facilit') AS named,
+NOT regexp_matches(coalesce(filename, ''), '(?i)amend|waiver|joinder|consent|supplement|guarant|pledge|mortgage') AND (NOT regexp_matches(coalesce(description, ''), '(?i)\b(amendment|amended and restated amendment|joinder|waiver|consent|guarant\w*|pledge|security agreement|mortgage|supplement|letter|schedule|exhibit list|commitment)\b')
+ OR (regexp_matches(coalesce(description, ''), '(?i)amended\s+and\s+restated') AND NOT regexp_matches(coalesce(description, ''), '(?i)\bamendment\b'))) AS plain FROM document_blocks)"""
+
+
+@query(f"WITH {_CREDIT} SELECT *, right_type AND sized AND named AND plain AS chosen FROM x")
+def credit_tests(spark, d):
+    """Every document block with the tests of a credit agreement."""
+    return S.credit_tests(_t(spark, d, "document_blocks")).select("accession_number", "block_no", "doc_type", "right_type", "sized", "named", "plain", "chosen").distinct()
+
+
+@query(f"WITH {_CREDIT} SELECT accession_number, block_no, doc_type FROM x WHERE right_type AND sized AND named AND plain")
 def credit_agreements(spark, d):
-    return S.credit_agreements(_t(spark, d, "document_blocks"), min_chars=5000).select("accession_number", "block_no", "doc_type").distinct()
+    return S.credit_agreements(_t(spark, d, "document_blocks")).select("accession_number", "block_no", "doc_type").distinct()
 
 
 @query(r"""WITH f AS (SELECT accession_number, min(submission_type) AS st FROM manifest GROUP BY 1)
@@ -572,11 +580,7 @@ def document_hashes(spark, d):
 @query(None)
 def run_hashes(spark, d):
     """Hashes of a whole run: node rows and rejected rows of every document of the parsed submissions."""
-    from stemma.parse import pipeline
-
-    parsed = materialize(pipeline.parse_submissions(_submissions(spark, d)), "parsed").df
-    t = lambda name: pipeline.table_of(parsed, name)
-    return A.document_hashes(t("nodes"), rejected=t("rejected"), documents=t("documents"))
+    return A.document_hashes(_parsed(spark, d, "nodes"), rejected=_parsed(spark, d, "rejected"), documents=_parsed(spark, d, "documents"))
 
 
 @query("""WITH a AS (SELECT DISTINCT accession AS accession_number, sha256 AS ha FROM fetch_log WHERE n_bytes > 0), b AS (SELECT DISTINCT accession_number, input_sha256 AS hb FROM submissions),
@@ -653,25 +657,33 @@ def _submissions(spark, d):
     return s.join(_years(spark, d).select("accession_number", F.col("filed_year").alias("year")), "accession_number", "left")
 
 
-@query(None)
-def parse_nodes(spark, d):
+_PARSED: dict[tuple[str, str], object] = {}
+
+
+def _parsed(spark, d, name):
+    """A table of the parse of all submissions; within a session they are parsed once for all the queries that read it."""
     from stemma.parse import pipeline
+    from stemma.sources.runs import exists
 
-    return pipeline.table_of(pipeline.parse_submissions(_submissions(spark, d)), "nodes")
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _PARSED or not exists(spark, _PARSED[key].path):
+        _PARSED[key] = materialize(pipeline.parse_submissions(_submissions(spark, d)), "parsed")
+    return pipeline.table_of(_PARSED[key].df, name)
 
 
 @query(None)
-def parse_documents(spark, d):
-    from stemma.parse import pipeline
+def parse_nodes(spark, d):
+    return _parsed(spark, d, "nodes")
 
-    return pipeline.table_of(pipeline.parse_submissions(_submissions(spark, d)), "documents")
+
+@query(None)
+def parse_documents(spark, d):
+    return _parsed(spark, d, "documents")
 
 
 @query(None)
 def parse_rejected(spark, d):
-    from stemma.parse import pipeline
-
-    return pipeline.table_of(pipeline.parse_submissions(_submissions(spark, d)), "rejected")
+    return _parsed(spark, d, "rejected")
 
 
 _HEAD = "<SEC-HEADER>\nCONFORMED SUBMISSION TYPE: 10-K\n</SEC-HEADER>\n<DOCUMENT>\n<TYPE>10-K\n<SEQUENCE>1\n<TEXT>\n"

@@ -152,22 +152,29 @@ def primary_documents(blocks: DataFrame, forms: DataFrame) -> DataFrame:
     )
 
 
-def credit_agreements(blocks: DataFrame, *, include_ex4: bool = False, min_chars: int = CREDIT_CHARS) -> DataFrame:
-    """Document blocks that hold a full credit or loan agreement."""
+def credit_tests(blocks: DataFrame, *, include_ex4: bool = False, min_chars: int = CREDIT_CHARS) -> DataFrame:
+    """Document blocks with the tests of a full credit or loan agreement, and ``chosen`` where all hold.
+
+    right_type, sized (its text has at least ``min_chars``), named (by description or file name), and plain (neither says
+    that it is an amendment, a waiver or the like; restated agreements stay).
+    """
     d, f = F.coalesce("description", F.lit("")), F.coalesce("filename", F.lit(""))
-    right = F.col("doc_type").rlike(CREDIT_TYPE)
+    right = F.coalesce(F.col("doc_type").rlike(CREDIT_TYPE), F.lit(False))
     if include_ex4:
-        right = right | F.col("doc_type").rlike(CREDIT_TYPE_EX4)
+        right = right | F.coalesce(F.col("doc_type").rlike(CREDIT_TYPE_EX4), F.lit(False))
     restated = d.rlike(r"(?i)amended\s+and\s+restated") & ~d.rlike(r"(?i)\bamendment\b")
-    return blocks.where(
-        right
-        & (F.col("text_start") >= 0)
-        & (F.col("text_end") - F.col("text_start") >= min_chars)
-        & ~f.rlike(BINARY_NAME)
-        & (d.rlike(CREDIT_DESCRIPTION) | f.rlike(CREDIT_NAME))
-        & ~f.rlike(CREDIT_NAME_NOT)
-        & (~d.rlike(CREDIT_NOT) | restated)
-    )
+    x = blocks.withColumns({
+        "right_type": right,
+        "sized": (F.col("text_start") >= 0) & (F.col("text_end") - F.col("text_start") >= min_chars) & ~f.rlike(BINARY_NAME),
+        "named": d.rlike(CREDIT_DESCRIPTION) | f.rlike(CREDIT_NAME),
+        "plain": ~f.rlike(CREDIT_NAME_NOT) & (~d.rlike(CREDIT_NOT) | restated),
+    })
+    return x.withColumn("chosen", F.col("right_type") & F.col("sized") & F.col("named") & F.col("plain"))
+
+
+def credit_agreements(blocks: DataFrame, *, include_ex4: bool = False, min_chars: int = CREDIT_CHARS) -> DataFrame:
+    """Document blocks that hold a full credit or loan agreement."""
+    return credit_tests(blocks, include_ex4=include_ex4, min_chars=min_chars).where("chosen").select(*blocks.columns)
 
 
 def grammar_of(doc_type: Column, header_type: Column) -> Column:
