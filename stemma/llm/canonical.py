@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -38,14 +38,9 @@ LABEL_SIMILARITY = 1.0
 #: Leading zeros apart, more can't be a keyword and a number of the list.
 LONGEST_READING = 64
 
-# Number words, stop words, and the short forms found in headings.
+# Number words and function words.
 WORD_NUMBERS = {w: n for n, w in enumerate("ONE TWO THREE FOUR FIVE SIX SEVEN EIGHT NINE TEN ELEVEN TWELVE THIRTEEN FOURTEEN FIFTEEN SIXTEEN SEVENTEEN EIGHTEEN NINETEEN TWENTY".split(), 1)}
-STOP_WORDS = set("of the and to for in by on with or from a an re our discussion registrant related matters continued cont d".split())
-SHORT_FORMS = {
-    "co": "company", "ops": "operations", "mgmt": "management", "qtr": "quarter", "qtrly": "quarterly", "accts": "accounts", "acct": "account", "exp": "exposure",
-    "eval": "evaluation", "addl": "additional", "add'l": "additional", "discl": "disclosures", "info": "information", "rpt": "report", "rptg": "reporting", "mtrs": "matters", "svc": "service",
-    "dept": "department", "govt": "government", "liq": "liquidity", "rev": "review", "yr": "year", "int": "internal", "intl": "international", "fin": "financial", "stmt": "statement", "sched": "schedules",
-}
+STOP_WORDS = set("of the and to for in by on with or from a an".split())
 
 
 # ---------------------------------------------------------------- labels
@@ -268,10 +263,47 @@ _PAGE = re.compile(r"[\s.]*\.{3,}\s*\d*\s*$")
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 
 
-def title_tokens(value: str) -> list[str]:
-    """Trigrams of the telling words of a title, short forms written out."""
-    s = _PAGE.sub("", value.lower().replace("’", "'"))
-    words = [SHORT_FORMS.get(w, w) for w in _WORD.findall(s)]
+def _title_words(value: str) -> list[str]:
+    return _WORD.findall(_PAGE.sub("", value.lower().replace("’", "'")))
+
+
+class Vocabulary:
+    """The words of the reference titles, and what a typed word may be short for.
+
+    A short form begins like its word, keeps the order of its letters, and is a beginning of it, or one but for its
+    last letter, or lacks a single letter, or has no vowel behind its first letter.  Of several words a beginning
+    goes before the rest, then the shortest counts, then the first by name.
+    """
+
+    def __init__(self, titles: Iterable[str]) -> None:
+        self.words = {w for t in titles for w in _title_words(t)}
+        self.by_letter: dict[str, list[str]] = {}
+        for w in sorted(self.words):
+            self.by_letter.setdefault(w[0], []).append(w)
+        self.written = lru_cache(1 << 16)(self._written)
+
+    def __reduce__(self):
+        return Vocabulary, (sorted(self.words),)
+
+    def _written(self, typed: str) -> str:
+        """The word written out, or the typed word itself."""
+        w = typed.replace("'", "")
+        if typed in self.words or typed in STOP_WORDS or len(w) < 2 or w.isdigit():
+            return typed
+        fits = [r for r in self.by_letter.get(w[0], ()) if len(r) > len(w) and self._short_for(w, r)]
+        return min(fits, key=lambda r: (not r.startswith(w), len(r), r), default=typed)
+
+    @staticmethod
+    def _short_for(w: str, r: str) -> bool:
+        letters = iter(r)
+        if not all(x in letters for x in w):
+            return False
+        return r.startswith(w[:-1]) or len(r) - len(w) == 1 or not set(w[1:]) & set("aeiou")
+
+
+def title_tokens(value: str, vocabulary: Vocabulary | None = None) -> list[str]:
+    """Trigrams of the telling words of a title, short forms of the vocabulary written out."""
+    words = [vocabulary.written(w) for w in _title_words(value)] if vocabulary else _title_words(value)
     told = [w for w in words if w not in STOP_WORDS and not w.isdigit()] or words
     grams: dict[str, None] = {}
     for w in told:
@@ -289,15 +321,19 @@ def prefix_length(n: int, t: float) -> int:
     return max(0, n - int(-(-t * n // 1)) + 1) if n else 0
 
 
-def _tokens_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tokens_batch(vocabulary: Vocabulary | None):
     """Token set of each (side, grp, value, form)."""
-    for b in batches:
-        sides, groups, forms = (b.column(i).to_pylist() for i in (0, 1, 3))
-        sets = [None if f is None else label_tokens(f, g) if side == "label" else title_tokens(f) for side, g, f in zip(sides, groups, forms)]
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([sorted(set(x or [])) for x in sets], pa.list_(pa.string()))], names=["side", "grp", "value", "tokens"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sides, groups, forms = (b.column(i).to_pylist() for i in (0, 1, 3))
+            sets = [None if f is None else label_tokens(f, g) if side == "label" else title_tokens(f, vocabulary) for side, g, f in zip(sides, groups, forms)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([sorted(set(x or [])) for x in sets], pa.list_(pa.string()))], names=["side", "grp", "value", "tokens"])
+
+    return run
 
 
-def similarity_join(values: DataFrame, reference: list[tuple], limits: dict[str, float]) -> DataFrame:
+def similarity_join(values: DataFrame, reference: list[tuple], limits: dict[str, float], vocabulary: Vocabulary | None = None) -> DataFrame:
     """Best reference entry of each (side, grp, value): those, ref_id, similarity.
 
     ``values`` has side, grp, value and form (the text that is compared);
@@ -307,7 +343,7 @@ def similarity_join(values: DataFrame, reference: list[tuple], limits: dict[str,
     """
     spark = values.sparkSession
     schema = "side string, grp string, value string, tokens array<string>"
-    sets = materialize(values.select("side", "grp", "value", "form").mapInArrow(_tokens_batch, schema), "tokens").df
+    sets = materialize(values.select("side", "grp", "value", "form").mapInArrow(_tokens_batch(vocabulary), schema), "tokens").df
     # Rarity over everything; only tokens of entries can meet, so the counts are bounded by the list.
     seen = Counter(x for _, _, _, toks in reference for x in set(toks))
     vocabulary = spark.createDataFrame([(x,) for x in seen], "token string")
@@ -369,7 +405,7 @@ def map_values(values: DataFrame, reference: list) -> DataFrame:
     entries = [(r["ref_id"], "label", r["level_kind"], label_tokens(r["label_canon"], r["level_kind"])) for r in reference if r["level_kind"] in KEYWORDS]
     entries += [(r["ref_id"], "title", r["grammar"], title_tokens(r["ref_title"])) for r in reference if r["ref_title"]]
     forms = unify_columns(values.where(F.col("value").isNotNull()).distinct().withColumn("form", F.col("value")), ["form"])
-    return similarity_join(forms, entries, {"label": LABEL_SIMILARITY, "title": TITLE_SIMILARITY})
+    return similarity_join(forms, entries, {"label": LABEL_SIMILARITY, "title": TITLE_SIMILARITY}, Vocabulary(r["ref_title"] for r in reference if r["ref_title"]))
 
 
 def map_records(candidates: DataFrame, nodes: DataFrame, reference: DataFrame) -> DataFrame:

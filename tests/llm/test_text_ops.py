@@ -82,6 +82,12 @@ def test_map_records(spark):
     assert canonical.map_records(c.limit(0), n.limit(0), ref).collect() == []
 
 
+@pytest.mark.parametrize("typed, want", [("mgmt", "management"), ("info", "information"), ("qtrly", "quarterly"), ("dept", "department"), ("disclosurs", "disclosures"), ("units", "units"), ("of", "of"), ("x", "x"), ("12", "12"), ("financial", "financial"), ("add'l", "additional")])
+def test_short_forms_are_written_out(typed, want):
+    v = canonical.Vocabulary(["Management Information", "Quarterly Department Disclosures", "Uncertainties", "Financial and Additional"])
+    assert v.written(typed) == want
+
+
 def test_similarity_join_equals_brute_force(spark):
     titles = ["rate and price update", "rates and prices update", "interim control review", "internal control evaluation", "", "zzz", "price update rate"]
     entries = [(i, "title", None, canonical.title_tokens(t)) for i, t in enumerate(["Rate and Price Update", "Internal Control Evaluation", "Interim Control Review"])]
