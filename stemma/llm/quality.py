@@ -70,6 +70,7 @@ START = {
 }
 STAY = (0.93, 0.93, 0.93, 0.95)
 FEATURES = list(START)
+AGAIN = FEATURES.index("again")
 
 
 class Model:
@@ -95,9 +96,16 @@ class Model:
         return Model(tables, (start + s * self.start) / (2 * s), blend)
 
     def emissions(self, values: np.ndarray) -> np.ndarray:
+        """Log probability of every line in every state.
+
+        What a line looks like that stands three times or more is told by its first copy; of such lines only the
+        repetition counts.
+        """
         out = np.zeros((values.shape[1], 4))
-        for t, v in zip(self.tables, values):
-            out += np.log(t / t.sum(0))[v]
+        copied = values[AGAIN] > 0
+        for k, (t, v) in enumerate(zip(self.tables, values)):
+            each = np.log(t / t.sum(0))[v]
+            out += each if k == AGAIN else np.where(copied[:, None], 0.0, each)
         return out
 
     def label(self, values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -381,8 +389,10 @@ def _train_batches(model: Model):
                 continue
             first = np.cumsum(n) - n
             label = model.label(f, first, n).astype(np.int64)
-            for t, v in zip(tables, f):
-                t += np.bincount(v * 4 + label, minlength=t.size).reshape(t.shape)
+            own = f[AGAIN] == 0
+            for k, (t, v) in enumerate(zip(tables, f)):
+                pick = slice(None) if k == AGAIN else own
+                t += np.bincount(v[pick] * 4 + label[pick], minlength=t.size).reshape(t.shape)
             start += np.bincount(label[first[n > 0]], minlength=4)
             inner = np.ones(len(label), bool)
             inner[first[n > 0]] = False

@@ -265,3 +265,11 @@ def test_markup_of_any_length_and_depth():
     assert markup.clean("**" + "a" * 5000 + "** b") == ("a" * 5000 + " b", "markdown")
     assert markup.clean("<title>Only title")[0] == "Only title"
     assert markup.clean("x <script>var x = 1</script>y")[0] == "x y"
+
+
+def test_the_same_sentence_over_and_over_is_junk(spark):
+    sentence = "We paid no dividends in 2013 and don’t plan to pay any before 1996."
+    prose = "The company sells goods in many places. It expects that its costs will rise over the next year, and it plans for that."
+    docs = spark.createDataFrame([(1, "\n".join([sentence] * 9)), (2, "\n".join([prose, sentence, prose.replace("goods", "seeds"), sentence]))], "doc_id long, text string")
+    words = spark.createDataFrame([(w,) for w in ("the", "in", "and", "it", "to", "that", "we")], "word string")
+    assert {r["doc_id"]: r["kind"] for r in quality.assess(docs, words, ["doc_id"]).collect()} == {1: "junk", 2: "prose"}
