@@ -248,6 +248,20 @@ def test_restoration_of_held_out_text(spark):
     assert not any(fix.repair(x)[0] for x in lines[200:])
 
 
+def test_single_byte_read_as_another(spark):
+    """Mac Roman read as Windows and the like: most comes back, right text stays."""
+    words = "the company’s report – “quoted” naïve Größe § 4 coût and Überschuß of señor".split()
+    rng = random.Random(12)
+    lines = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(400)]
+    fix = encoding.Repairer(encoding.train(spark.createDataFrame([(x,) for x in lines[:300]], "text string")))
+    wrong = [(x, x.encode("mac_roman").decode("cp1252")) for x in lines[300:]]
+    right = [fix.repair(g)[1] for _, g in wrong]
+    hit = sum(a == x for a, (x, _) in zip(right, wrong))
+    assert hit >= 0.5 * len(wrong), hit
+    assert not any(fix.repair(x)[0] for x in lines)
+    assert dict(encoding.pair_candidates("Õ"))["’"] == "cp1252<mac_roman"
+
+
 def test_named_references_with_digits():
     garbled = "M&Atilde;&frac14;ller"
     assert encoding.resolve_references(garbled) == "M\u00c3\u00bcller" and encoding.suspicious(garbled)
