@@ -219,3 +219,33 @@ def test_clauses_outside_sections():
     recital = "WHEREAS, the parties agree as they do\n\n" + "\n\n".join(f"({x}) so they have said to all" for x in "abc")
     nodes, rejected, _ = items("LEASE\n\n" + recital + "\n\nARTICLE I\n\nTERM\n\n1.01 Rent. The tenant pays the rent.\n", "EX-10.1")
     assert sum(r["reason"] == "clause_outside_section" for r in rejected) == 3
+
+
+def test_further_items_of_a_heading():
+    from stemma.parse import headings
+
+    assert headings._further("and 2. Business") == (["2"], False, 5)
+    assert headings._further(", 7A and 8 Title")[0] == ["7A", "8"] and headings._further("through 14. X")[:2] == (["14"], True)
+    assert headings._further("Business and 2") == ([], False, 0) and headings._further("and (2)")[0] == []
+    assert headings._named_again("Business and Item 2. Properties; Items 3") == ["2", "3"] and headings._named_again("Item 4, " * 20000) == ["4"] * 19999
+    assert headings._formula("1.00 minus the Eurodollar Reserve Percentage") and headings._formula("(1.00 - Reserve Requirement)") and not headings._formula("1.01 Reserve Account of the Fund")
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("is incorporated by reference", ""), (" of this item is hereby set forth in Part II", " of this item "), ("has been filed with", ""), ("was good. It is included in", None), ("is sold by", None), ("", None)],
+)
+def test_pointing_words(text, want):
+    from stemma.functions import phrases
+
+    assert phrases.refers_elsewhere(text) == want
+
+
+def test_wording():
+    from stemma.functions import phrases as P
+
+    assert P.continued("ITEM 7 (Continued)") and P.continued("(cont.)") and P.continued("Cont'd") and not P.continued("Continental")
+    assert P.attests("Pursuant to the requirements of Section 13 or 15(d), the registrant has duly caused this") and not P.attests("in accordance with Section 13. It has caused harm.")
+    assert P.signed("/s/ A. B") and P.signed("By: ____") and P.signed("Name: A\nTitle: B") and P.signed("have duly caused this to be executed") and not P.signed("by the sea")
+    assert P.no_heading("Item 1") and P.no_heading("Sales of 1999 rose:") and P.no_heading("May 5, 2001") and not P.no_heading("Liquidity and Capital Resources")
+    assert P.new_subject(" the plan ") and not P.new_subject(" of item ")
