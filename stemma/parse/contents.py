@@ -142,21 +142,47 @@ def _veto(regions: list[Region], cands: list[Candidate]) -> list[Region]:
     return kept
 
 
-def vetoed_rows(cands: list[Candidate]) -> None:
-    """Rows of a vetoed run of four rising items that have a later copy with a title."""
-    run: list[Candidate] = []
-    later = {(c.kind, c.label): c.start for c in cands if c.has("gram.item.title_match")}
+INDEX_ITEMS = 4
 
-    def close() -> None:
-        if len(run) >= 4:
-            for c in run:
-                if later.get((c.kind, c.label), -1) > c.start:
-                    c.rules.append("rej.vetoed_index_row")
-        run.clear()
 
+def _vetoed_stretches(cands: list[Candidate]) -> list[tuple[list[Candidate], list[list[int]]]]:
+    """Stretches of neighbours in vetoed regions, each with the keys of its items cut into rising runs."""
+    out: list[tuple[list[Candidate], list[list[int]]]] = []
+    before = False
+    for c in cands:
+        now = c.has("toc.vetoed_region")
+        if now and not before:
+            out.append(([], []))
+        if now:
+            members, rising = out[-1]
+            members.append(c)
+            if c.kind == "item":
+                if rising and rising[-1][-1] < c.order:
+                    rising[-1].append(c.order)
+                else:
+                    rising.append([c.order])
+        before = now
+    return [x for x in out if sum(map(len, x[1])) >= INDEX_ITEMS]
+
+
+def index_members(cands: list[Candidate]) -> set[int]:
+    """ids of the candidates in a vetoed stretch whose items rise from end to end: an index after all."""
+    return {id(c) for members, rising in _vetoed_stretches(cands) if len(rising) == 1 for c in members}
+
+
+def vetoed_rows(cands: list[Candidate]) -> None:
+    """Rows of a vetoed index that come again later with their printed title.
+
+    The items of the index rise throughout; where parts aren't known yet (10-Q) they may begin anew, each time for
+    two items at least.
+    """
+    later: dict[tuple[str, str], int] = {}
     for c in cands:
-        if c.kind != "item" or not c.has("toc.vetoed_region") or (run and c.order <= run[-1].order):
-            close()
-        if c.kind == "item" and c.has("toc.vetoed_region"):
-            run.append(c)
-    close()
+        if c.has("gram.item.title_match"):
+            later[c.kind, c.label] = max(c.start, later.get((c.kind, c.label), -1))
+    for members, rising in _vetoed_stretches(cands):
+        open_parts = any(c.kind == "item" and "?." in c.label for c in members)
+        if len(rising) == 1 or (open_parts and all(len(r) >= 2 for r in rising)):
+            for c in members:
+                if later.get((c.kind, c.label), -1) > c.start:
+                    c.rules += ["rej.vetoed_index_row", "toc.vetoed_index"]

@@ -249,3 +249,40 @@ def test_wording():
     assert P.signed("/s/ A. B") and P.signed("By: ____") and P.signed("Name: A\nTitle: B") and P.signed("have duly caused this to be executed") and not P.signed("by the sea")
     assert P.no_heading("Item 1") and P.no_heading("Sales of 1999 rose:") and P.no_heading("May 5, 2001") and not P.no_heading("Liquidity and Capital Resources")
     assert P.new_subject(" the plan ") and not P.new_subject(" of item ")
+
+
+def _cand(label, order, start, *rules, score=0.7, title="", covers=()):
+    from stemma.parse.headings import Candidate
+
+    return Candidate(0, "item", label, label, title, score, list(rules), order, start, start + 5, start, covers=list(covers))
+
+
+def test_out_of_order_items():
+    from stemma.parse.trees import out_of_order
+
+    q, k = GRAMMARS["form10q"], GRAMMARS["form10k"]
+    chosen = [_cand("ITEM 2", 20, 100, covers=["3"])]
+    tm = "gram.item.title_match"
+    late = [_cand("ITEM 1B", 12, 900, tm), _cand("ITEM 1B", 12, 950, tm, score=0.9), _cand("ITEM 3", 30, 910, tm), _cand("ITEM 4", 40, 920), _cand("ITEM 5", 50, 930, tm, "rej.fm_table"), _cand("ITEM 6", 60, 940, tm)]
+    got = out_of_order([*chosen, *late], chosen, k, {id(late[-1])})
+    assert got == [late[1]] and late[1].has("seq.out_of_order_tiebreak")
+    several = _cand("ITEM II.2", 120, 50, "lbl.item.multi", title="Defaults upon Senior Securities", covers=["3"])
+    assert out_of_order([several], [], q, set()) == [several] and several.has("seq.out_of_order_multi")
+    assert out_of_order([several], [_cand("ITEM II.3", 130, 10)], q, set()) == []
+
+
+def test_vetoed_index_rows():
+    from stemma.parse import contents
+
+    v = "toc.vetoed_region"
+    rows = [_cand(f"ITEM {i}", 10 * i, i, v) for i in (1, 2, 3, 4)]
+    body = _cand("ITEM 3", 30, 500, "gram.item.title_match")
+    contents.vetoed_rows([*rows, body])
+    assert [c.has("rej.vetoed_index_row") for c in rows] == [False, False, True, False]
+    assert contents.index_members([*rows, body]) == {id(c) for c in rows}
+    fresh = [_cand(f"ITEM ?.{i}", 10 * i, n, v) for n, i in enumerate((1, 2, 1, 2))]
+    contents.vetoed_rows([*fresh, _cand("ITEM ?.2", 20, 500, "gram.item.title_match")])
+    assert [c.has("rej.vetoed_index_row") for c in fresh] == [False, True, False, True] and not contents.index_members(fresh)
+    mixed = [_cand(f"ITEM {i}", 10 * i, n, v) for n, i in enumerate((1, 2, 1, 2))]
+    contents.vetoed_rows([*mixed, _cand("ITEM 2", 20, 500, "gram.item.title_match")])
+    assert not any(c.has("rej.vetoed_index_row") for c in mixed)
