@@ -121,7 +121,7 @@ def parse(doc: dict, grammar_name: str, era: str, synth_root: bool = False) -> d
     contract = grammar_name == "contract"
     cands = headings.find(blocks, g, era)
     if not contract:
-        headings.caption_lists(cands, norm)
+        rows.caption_lists(cands, norm)
         rows.status_tables(cands, blocks)
     regions = contents.detect(blocks, cands, len(norm), contract)
     inside = {i for r in regions for i in range(r.first, r.last + 1)}

@@ -1,4 +1,4 @@
-"""Rows of two columns: tables of item status in front matter, and contents rows of contracts.
+"""Lists under captions, tables of item status in front matter, and contents rows of contracts.
 
 A row is a heading candidate with something in a second column: in the next
 cells of its table row, behind a gap or a leader on its line, or on one of the
@@ -9,6 +9,8 @@ is.  Candidates are only tagged; the trees read the tags.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import regex
 
 from stemma.functions import heads
@@ -279,3 +281,84 @@ def contents_rows(cands: list[Candidate], blocks: list[Block], inside: set[int])
     for i in labelled:
         if i in inside and i not in rows and body_follows(blocks, cands[i], row_blocks) and not _paged(blocks, cands[i]):
             cands[i].rules.append("ctoc.region_relief")
+
+
+# ---------------------------------------------------------------- lists under captions
+
+# What captions say of the items under them, and bounds of their lists.
+CAPTIONS = {
+    "rej.caption_omission": ["rule 12b-25", "does not include the following", "document(s) omitted", "document(s) ommitted", "item(s) omitted", "item(s) have been omitted", "omitted"],
+    "rej.caption_ibr": ["document(s) incorporated by reference", "incorporated herein by reference"],
+    "rej.caption_xref": ["see note", "cross reference", "cross-reference", "reference to item"],
+}
+SMALL_WORDS = set("a an and as at by for from in into of on or the to under with".split())
+CAPTION_CHARS, LIST_LINES, CAPTION_TAIL = 200, 60, 3000
+
+_CAPTIONS = {tag: holds(words) for tag, words in CAPTIONS.items()}
+_POINTS_ON = holds(["see note", "cross reference", "cross-reference"])
+_PAGE_OF = regex.compile(r"\bpage\s+\d|\bp\.\s*\d+|\bnote\s*\(?[a-z0-9]+\)?(?!\w)", regex.I)
+
+
+def caption_shaped(line: str) -> bool:
+    """A line set as a caption: it ends in a colon, is in capitals, or every word but small ones has a capital."""
+    s = line.strip()
+    letters = [c for c in s if c.isalpha()]
+    if not s or len(s) > CAPTION_CHARS:
+        return False
+    if s.endswith(":") or (letters and sum(c.isupper() for c in letters) >= 0.85 * len(letters)):
+        return True
+    words = [w for w in regex.findall(r"[A-Za-z][A-Za-z'’-]*", s)]
+    return bool(words) and all(w[0].isupper() or w in SMALL_WORDS for w in words)
+
+
+def list_below(lines: list[str], at: int) -> tuple[int, int]:
+    """(line at which the list under a caption ends, how many items it has): single blank lines and bare ordinals belong to it."""
+    items, blanks, k = 0, 0, at + 1
+    while k < len(lines) and k - at <= LIST_LINES and blanks < 2:
+        s = lines[k].strip()
+        if not s:
+            blanks += 1
+        elif item_label(regex.sub(r"^\(?\d{1,2}[.)]\s*", "", s)) is not None:
+            items, blanks = items + 1, 0
+        elif regex.fullmatch(r"\(?(?:\d{1,2}|[a-z])[.)]?", s, regex.I):
+            blanks = 0
+        else:
+            break
+        k += 1
+    return k, items
+
+
+def caption_lists(cands: list[Candidate], norm: str) -> None:
+    """Items listed under a caption that says they are omitted, found elsewhere, or referred to.
+
+    An item whose number falls back below those above it is the filer's own heading printed among them.  An item whose
+    own line points to a page or a note counts as referred to, too.
+    """
+    items = sorted((c for c in cands if c.kind == "item"), key=lambda c: c.norm)
+    if not items:
+        return
+    lines = norm.split("\n")
+    starts = [0]
+    for x in lines:
+        starts.append(starts[-1] + len(x) + 1)
+    places = [c.norm for c in items]
+    last = places[-1] + CAPTION_TAIL
+    for at, line in enumerate(lines):
+        if starts[at] > last:
+            break
+        if len(line) > CAPTION_CHARS + 20 or not caption_shaped(line):
+            continue
+        said = [(tag, m.start()) for tag, words in _CAPTIONS.items() if (m := words.search(line))]
+        end, listed = list_below(lines, at) if said else (at, 0)
+        for tag, place in said if listed else ():
+            highest = -1
+            for c in items[bisect_left(places, starts[at] + place) : bisect_left(places, starts[end] if end < len(lines) else len(norm) + 1)]:
+                if c.order >= highest:
+                    highest = c.order
+                    if not c.has(tag):
+                        c.rules.append(tag)
+    for c in items:
+        k = bisect_right(starts, c.norm) - 1
+        own = lines[k][c.norm - starts[k] :] if k < len(lines) else ""
+        if not c.has("rej.caption_xref") and (_POINTS_ON.search(own) or _PAGE_OF.search(own)):
+            c.rules.append("rej.caption_xref")
