@@ -286,3 +286,18 @@ def test_vetoed_index_rows():
     mixed = [_cand(f"ITEM {i}", 10 * i, n, v) for n, i in enumerate((1, 2, 1, 2))]
     contents.vetoed_rows([*mixed, _cand("ITEM 2", 20, 500, "gram.item.title_match")])
     assert not any(c.has("rej.vetoed_index_row") for c in mixed)
+
+
+def test_sections_that_carry_a_sentence_on():
+    from stemma.parse import headings as H
+    from stemma.parse.headings import Candidate
+
+    def hit(text):
+        c = Candidate(0, "section", "", "", "", 0.6, [], 1, 0, 0, text.index("Section"))
+        H.section_references([c], text)
+        return c.has("rej.section_xref")
+
+    assert hit("as it is stated in and pursuant to the\n\nSection 2.5, above") and hit("the rights that the Lender may have under,\nSection 9.2")
+    assert not hit("as it is stated in and pursuant to the\nSection 2.5 Term of the Lease")
+    assert not hit("keeps the rooms insured at all times; or\nSection 6.1 (i) the rent") and not hit("keeps the rooms insured at all times;\nor\nSection 6.1 (i) the rent")
+    assert not hit("The end of it.\nSection 6.1") and not hit("Notices to\nSection 6.1") and not hit("Section 6.1")
