@@ -126,7 +126,14 @@ def text_blocks(payload: str, base: int) -> tuple[list[Block], str]:
 
 # ---------------------------------------------------------------- HTML
 
-_TOKEN = re.compile(r"<!--(?P<comment>.*?)(?:-->|$)|<(?P<close>/?)(?P<name>[A-Za-z][\w:.-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|(?P<ref>&(?:#\s*\d+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);?)|(?P<text>[^<&]+)|(?P<stray>[<&])", re.S)
+# A comment that isn't closed, a tag whose quotes aren't, a closing tag without a name: what follows them is text again.
+_TOKEN = re.compile(
+    r"<!--(?P<comment>.*?)-->|<!\[CDATA\[(?P<cdata>.*?)\]\]>"
+    r"|<(?P<close>/?)(?P<name>[A-Za-z][\w:.-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*|[^<>]*)>"
+    r"|<[!?][^<>]*>|</[^A-Za-z<>][^<>]*>|</>"
+    r"|(?P<ref>&(?:#\s*\d+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);?)|(?P<text>[^<&]+)|(?P<stray>[<&])",
+    re.S,
+)
 _ATTR = re.compile(r"([\w:.-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _SIZE = re.compile(r"font-size\s*:\s*([\d.]+)\s*(pt|px|em|%)", re.I)
 
@@ -338,6 +345,8 @@ def html_blocks(payload: str, base: int, image_text: bool = False) -> tuple[list
             b.data(reference(m[0]), base + m.start(), base + m.end())
         elif m["comment"] is not None:
             b.comment = m["comment"].strip()
+        elif m["cdata"] is not None:
+            b.data(m["cdata"], base + m.start("cdata"), base + m.end("cdata"))
         elif m["name"]:
             name = m["name"].lower()
             (b.close(name) if m["close"] else b.open(name, m["attrs"]))

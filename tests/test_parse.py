@@ -52,6 +52,19 @@ def test_broken_references_keep_the_text():
     assert html_blocks("<p>a&#\n160;b &#147Change</p>", 0)[0][0].text.endswith("Change")
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [("<p>a</p><!-- open <p>b</p>", ["a", "<!-- open", "b"]), ("<p>a</ >b</>c</p>", ["abc"]), ("<p align='x>y</p>z", ["y", "z"]), ("<p>a<![CDATA[b<c]]></p>", ["ab<c"]), ("<!DOCTYPE html><?xml x?><p>a<3</p>", ["a<3"]), ("<p>a</p><p", ["a", "<p"]), ("a &unknown; &amp b", ["a &unknown; & b"])],
+)
+def test_broken_markup_keeps_the_text(html, want):
+    assert [b.text for b in html_blocks(html, 0)[0]] == want
+
+
+def test_links_back_to_the_contents_are_dropped():
+    link = '<a href="#toc">Table of Contents</a>'
+    assert [b.text for b in html_blocks(f"<p>{link} ITEM 1. BUSINESS</p><p>Our goods {link}</p><p>{link}</p>", 0)[0]] == ["ITEM 1. BUSINESS", "Our goods", "Table of Contents"]
+
+
 @pytest.mark.parametrize(
     ("grammar", "line", "want"),
     [
