@@ -42,17 +42,21 @@ COMPANY_ENDS = "LLP LLC Inc Inc. Ltd Ltd. Corp Corp.".split()
 MONTHS = "January February March April May June July August September October November December".split()
 
 
+def _worded(p: str) -> str:
+    words = []
+    for w in p.split():
+        plural = w.endswith("(s)")
+        words.append(regex.escape(w[:-3] if plural else w) + ("s?" if plural else ""))
+    return r"\s+".join(words)
+
+
 def pattern(phrases: list[str]) -> str:
-    """Alternatives of the phrases, longest first, between word borders."""
-    out = []
+    """Alternatives of the phrases, longest first, between word borders; a border is looked at once for all that need it."""
+    groups: dict[tuple[bool, bool], list[str]] = {}
     for p in sorted(phrases, key=lambda x: (-len(x), x)):
-        words = []
-        for w in p.split():
-            plural = w.endswith("(s)")
-            words.append(regex.escape(w[:-3] if plural else w) + ("s?" if plural else ""))
-        edge = r"\b" if p[-1].isalnum() or p.endswith("(s)") else ""
-        out.append((r"\b" if p[0].isalnum() else "") + r"\s+".join(words) + edge)
-    return "(?:" + "|".join(out) + ")"
+        groups.setdefault((p[0].isalnum(), p[-1].isalnum() or p.endswith("(s)")), []).append(_worded(p))
+    out = [(r"\b" if begin else "") + "(?:" + "|".join(words) + ")" + (r"\b" if end else "") for (begin, end), words in groups.items()]
+    return out[0] if len(out) == 1 else "(?:" + "|".join(out) + ")"
 
 
 def holds(*lists: list[str], case: bool = False):

@@ -41,7 +41,7 @@ SIGNALS = {
 }
 ABS_WINDOW = 50_000
 ABS_PHRASES = ["regulation ab", "general instruction j", "as depositor", "as the depositor", "issuing entity", "servicing criteria", "noteholder(s)", "certificateholder(s)", "pooling and servicing"]
-ABS_WORDS = [*[pattern([p]) for p in ABS_PHRASES], r"\bItem\s+11\d\d\b"]
+ABS_WORDS = [rf"{pattern(ABS_PHRASES)}|\bItem\s+11\d\d\b"]
 TRUSTS = [f"{kind}{s} trust" for kind in ("owner", "master", "grantor", "auto", "loan", "mortgage", "funding") for s in ("", "s")]
 ABS_NAME = pattern(["receivables", "asset-backed", "asset backed", "abs", "pass-through", "pass through", "certificates", *TRUSTS]) + r"|securitiz|passthrough|assetbacked|\btrust\s+(?:19|20)\d\d|\b(?:19|20)\d\d-[a-z0-9]+\b"
 STUB_CHARS, REFERENCE_GAP = 4096, 80

@@ -33,6 +33,7 @@ _NOTE_MARK = regex.compile(r"\bnote\s*\(?[a-z0-9]\)?(?![a-z])", regex.I)
 _PAGE_MARK = regex.compile(r"\bpp?\.\s*\d", regex.I)
 _LAST_NUMBER = regex.compile(r"(?:^|\s|\()(?:[A-Z]{1,3}-)?\d{1,4}\)?\s*$")
 _LEADER = regex.compile(r"(?:\.\s?){3,}|_{3,}")
+_DOTS, _GLUED = regex.compile(r"\.\s?\.\s?\."), regex.compile(r"\.\.\s*\d{1,4}$")
 _GAP = regex.compile(rf"(?<=\S)\s{{{GAP_BLANKS},}}(?=\S)")
 
 
@@ -216,8 +217,8 @@ def status_tables(cands: list[Candidate], blocks: list[Block]) -> None:
 def page_signs(line: str) -> set[str]:
     """Signs of a contents row on a line: a leader, a page glued to dots, a page number behind a title."""
     s = line.rstrip()
-    out = {"leader"} if regex.search(r"\.\s?\.\s?\.", s) else set()
-    if regex.search(r"\.\.\s*\d{1,4}$", s):
+    out = {"leader"} if _DOTS.search(s) else set()
+    if _GLUED.search(s):
         out.add("glued")
     m = regex.search(r"(?:^|\s)-?\s*(?:[A-Za-z]\s?-\s?)?\d{1,4}\s*-?$", s) or regex.search(r"(?:^|\s\s)\s*[-(]?([ivxlcdmIVXLCDM]+)[-)]?$", s)
     if m and (m.lastindex is None or heads.roman(m[1].upper()) is not None):
