@@ -343,7 +343,9 @@ def similarity_join(values: DataFrame, reference: list[tuple], limits: dict[str,
     """
     spark = values.sparkSession
     schema = "side string, grp string, value string, tokens array<string>"
-    sets = materialize(values.select("side", "grp", "value", "form").mapInArrow(_tokens_batch(vocabulary), schema), "tokens").df
+    # Reading a label is dear and its text is short: few bytes are spread over all cores.
+    spread = values.select("side", "grp", "value", "form").repartition(max(8, spark.sparkContext.defaultParallelism), "value")
+    sets = materialize(spread.mapInArrow(_tokens_batch(vocabulary), schema), "tokens").df
     # Rarity over everything; only tokens of entries can meet, so the counts are bounded by the list.
     seen = Counter(x for _, _, _, toks in reference for x in set(toks))
     vocabulary = spark.createDataFrame([(x,) for x in seen], "token string")
