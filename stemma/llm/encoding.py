@@ -10,7 +10,7 @@
    while the rest is right.  A run to which no such chain applies is put through
    encode-with-X, decode-with-Y for all pairs of single-byte encodings.
 3. The model scores the run in its place before and after; the likeliest chain
-   is accepted if it gains more than a margin validated on clean runs that were
+   is accepted if it gains more than a margin validated on all clean runs,
    garbled on purpose.  Since a pair of single-byte encodings applies to right
    text too, its gain must also exceed all that clean runs gain by any pair.
 
@@ -21,7 +21,6 @@ texts are not affected.  Correct foreign words and signs stay as they are.
 
 from __future__ import annotations
 
-import hashlib
 import html
 import math
 import re
@@ -33,12 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stemma.session import materialize
+
 # Single-byte encodings in which UTF-8 is read by mistake.
 ENCODINGS = ["cp1252", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "cp1253", "iso8859_15", "koi8_r", "cp866"]
 MAX_TIMES = 3
 MARK = "�"
-#: Contexts of the validation sample, those with the smallest hashes of all; the sample only sets the margin.
+#: Contexts handed on at a time; the margins are validated on all of them.
 VALIDATION_ROWS = 2_000
+#: Characters of contexts that a task remembers as handed on; beyond that they are handed on again and drawn together later.
+SEEN_CHARS = 1 << 20
 WEIGHTS = (0.6, 0.3, 0.09, 0.01)
 #: Cells of the trigram table; trigrams that fall into one cell share its count.
 TRIGRAM_CELLS = 1 << 22
@@ -152,6 +155,18 @@ def pair_candidates(run: str) -> tuple[tuple[str, str], ...]:
     return tuple(found.items())
 
 
+@lru_cache(None)
+def _read_as(encoding: str) -> dict[int, str]:
+    return {b: c for c, b in _byte_of(encoding).items()}
+
+
+@lru_cache(1 << 14)
+def garblings(run: str) -> tuple[str, ...]:
+    """The run's UTF-8 read in each encoding from which it can be restored."""
+    wrong = [(e, "".join(_read_as(e).get(b, "") for b in run.encode("utf-8"))) for e in ENCODINGS]
+    return tuple(w for e, w in wrong if undo_once(w, e) == run != w)
+
+
 _CONTROL = re.compile("[\x80-\x9f]")
 
 
@@ -188,15 +203,17 @@ def suspicious(text: str) -> bool:
 # ---------------------------------------------------------------- model
 
 
-def _hash(context: str) -> int:
-    return int.from_bytes(hashlib.blake2b(context.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+def _gram_batch(kind: np.ndarray, gram: np.ndarray, n: np.ndarray, context: list[str | None]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(gram), pa.array(n), pa.array(context, pa.string())], names=["kind", "gram", "n", "context"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the task's bigrams and trigrams (kind 2 and 3), and every run in its place (kind 0)."""
     table, v = symbols()
     two = np.zeros(v * v, np.int64)
     three: dict[int, int] = {}
-    contexts: dict[str, int] = {}  # those with the smallest hashes so far, so that their order of arrival doesn't matter
+    seen: set[str] = set()
+    held = 0
     for b in batches:
         texts = [t for t in b.column(0).to_pylist() if t and (t.isascii() and "&" not in t or not suspicious(t))]
         if not texts:
@@ -215,17 +232,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, c in zip(cell.tolist(), n.tolist()):
                 three[k] = three.get(k, 0) + c
         padded = "\n\n" + joined  # each text between the same borders, wherever it stands
-        new = {padded[m.start() - 2 : m.end() + 2] for m in _RUN.finditer(padded)}
-        contexts = dict(sorted([*(contexts | {c: _hash(c) for c in new if c not in contexts}).items()], key=lambda x: (x[1], x[0]))[:VALIDATION_ROWS])
+        new = list({padded[m.start() - 2 : m.end() + 2] for m in _RUN.finditer(padded)} - seen)
+        for i in range(0, len(new), VALIDATION_ROWS):
+            some = new[i : i + VALIDATION_ROWS]
+            yield _gram_batch(np.zeros(len(some), np.int8), np.zeros(len(some), np.int64), np.ones(len(some), np.int64), some)
+        held += sum(map(len, new))
+        if held > SEEN_CHARS:
+            seen, held = set(), 0
+        else:
+            seen.update(new)
     some = np.flatnonzero(two)
     keys = np.concatenate([some, np.array(list(three), np.int64)])
     counts = np.concatenate([two[some], np.array(list(three.values()), np.int64)])
     kind = np.concatenate([np.full(len(some), 2, np.int8), np.full(len(three), 3, np.int8)])
-    n, c = len(keys), list(contexts)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([kind, np.zeros(len(c), np.int8)])), pa.array(np.concatenate([keys, np.array(list(contexts.values()), np.int64)])), pa.array(np.concatenate([counts, np.ones(len(c), np.int64)])), pa.array([None] * n + c, pa.string())],
-        names=["kind", "gram", "n", "context"],
-    )
+    yield _gram_batch(kind, keys, counts, [None] * len(keys))
 
 
 def _cell(gram: int) -> int:
@@ -233,7 +253,7 @@ def _cell(gram: int) -> int:
 
 
 class Model:
-    """Interpolated trigram model over folded characters, and the margin."""
+    """Interpolated trigram model over folded characters, and the margins."""
 
     def __init__(self, two: dict[int, int], three: dict[int, int], margin: float = 0.0) -> None:
         _, self.v = symbols()
@@ -263,38 +283,79 @@ class Model:
             out += math.log(p)
         return out
 
-    def validate(self, contexts: list[str]) -> None:
-        """Half of what all but one in a hundred purposely garbled clean runs gain by being restored."""
-        gains, false = [], []
-        for c in contexts:
-            m = _RUN.search(c)
-            if not m:
-                continue
-            a, run, z = c[: m.start()], m[0], c[m.end() :]
+    def gains(self, context: str) -> tuple[list[float], float]:
+        """What a clean run gains by being restored from each encoding it is garbled in, and the most it gains by any pair."""
+        gains, pairs = [], [0.0]
+        for at in {_RUN.search(context).start(), 2}:  # the run, and the end of another if that stands before it
+            run = _RUN.match(context, at)[0]
+            a, z = context[:at], context[at + len(run) :]
             right = self.score(a, run, z)
-            for e in ENCODINGS:
-                table = {b: ch for ch, b in _byte_of(e).items()}
-                wrong = "".join(table.get(b, "") for b in run.encode("utf-8"))
-                if undo_once(wrong, e) == run != wrong:
-                    gains.append(right - self.score(a, wrong, z))
-            false.append(max((self.score(a, t, z) - right for t, _ in pair_candidates(run)), default=0.0))
-        gains.sort()
-        self.margin = max(1.0, gains[len(gains) // 100] / 2) if gains else 1.0
-        #: without clean runs nothing tells what right text may gain: no pair is accepted then
-        self.pair_margin = max(0.0, *false) + self.margin if false else math.inf
+            gains += [right - self.score(a, wrong, z) for wrong in garblings(run)]
+            pairs += [self.score(a, t, z) - right for t, _ in pair_candidates(run)]
+        return gains, max(pairs)
+
+
+def _keys(x: np.ndarray) -> np.ndarray:
+    """Bits of floating numbers as integers in the same order; applied to the integers it gives the bits back."""
+    bits = x.view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
+
+
+def _number(key: int) -> float:
+    return float(_keys(np.array([key], np.int64)).view(np.float64)[0])
+
+
+def _measure(shared):
+    """(kind, key) of all gains of clean runs: 1 by being restored, 2 the most by any pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, VALIDATION_ROWS):
+                found = [shared.value.gains(c) for c in b.column(0).slice(i, VALIDATION_ROWS).to_pylist()]
+                gains, pairs = [g for x, _ in found for g in x], [p for _, p in found]
+                kind = np.repeat(np.array([1, 2], np.int8), [len(gains), len(pairs)])
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(_keys(np.array(gains + pairs, np.float64)))], names=["kind", "key"])
+
+    return run
+
+
+def _smallest(keys: DataFrame, k: int) -> int:
+    """The ``key`` that stands behind k others, found 16 bits at a time: at most 65,536 counts come back each time."""
+    top = None
+    for shift in (48, 32, 16, 0):
+        some = keys if top is None else keys.where(F.shiftright("key", shift + 16) == top)
+        for top, n in sorted(tuple(r) for r in some.groupBy(F.shiftright("key", shift).alias("top")).agg(F.count("*").alias("n")).collect()):
+            if k < n:
+                break
+            k -= n
+    return top
+
+
+def _validate(model: Model, contexts: DataFrame) -> None:
+    """Sets the margins: half of what all but one in a hundred purposely garbled clean runs gain by being restored."""
+    sc = contexts.sparkSession.sparkContext
+    shared = sc.broadcast(model)
+    spread = contexts.repartition(max(8, sc.defaultParallelism), "context")
+    measured = materialize(spread.mapInArrow(_measure(shared), "kind byte, key bigint"), "gains")
+    r = measured.df.agg(F.count_if(F.col("kind") == 1).alias("n"), F.max(F.when(F.col("kind") == 2, F.col("key"))).alias("most")).first()
+    model.margin = max(1.0, _number(_smallest(measured.df.where("kind = 1"), r["n"] // 100)) / 2) if r["n"] else 1.0
+    #: without clean runs nothing tells what right text may gain: no pair is accepted then
+    model.pair_margin = max(0.0, _number(r["most"])) + model.margin if r["most"] is not None else math.inf
+    measured.drop()
+    shared.unpersist()
 
 
 def train(texts: DataFrame) -> Model:
     """Model of all clean records of a one-column table."""
     parts = texts.mapInArrow(_count, "kind byte, gram bigint, n bigint, context string")
-    # Bounded by the alphabet, the trigram table and the validation sample.
-    grams = parts.groupBy("kind", "gram", "context").agg(F.sum("n").alias("n"))
-    rows = grams.where("kind > 0").select("kind", "gram", "n").toArrow()
-    sample = grams.where("kind = 0").select("gram", "context").orderBy("gram", "context").limit(VALIDATION_ROWS).collect()
+    # Counted once and kept: what comes to the driver is bounded by the alphabet and the trigram table, the contexts stay where they are.
+    grams = materialize(parts.groupBy("kind", "gram", "context").agg(F.sum("n").alias("n")), "grams")
+    rows = grams.df.where("kind > 0").select("kind", "gram", "n").toArrow()
     kind, key, n = (np.asarray(rows[c]) for c in ("kind", "gram", "n"))
     pick = lambda k: dict(zip(key[kind == k].tolist(), n[kind == k].tolist()))
     model = Model(pick(2), pick(3))
-    model.validate([r["context"] for r in sample])
+    _validate(model, grams.df.where("kind = 0").select("context"))
+    grams.drop()
     return model
 
 

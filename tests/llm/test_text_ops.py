@@ -235,6 +235,31 @@ def test_margin_sample_ignores_order(spark, monkeypatch):
     assert sample(texts) == sample(texts[::-1]) and len(sample(texts)) == 20
 
 
+def test_margins_come_from_all_clean_runs(spark):
+    rng = random.Random(5)
+    signs = "éßøñ" + "".join(map(chr, range(0x3B1, 0x3C9)))
+    lines = [f"the {rng.choice('abcde')}{''.join(rng.choice(signs) for _ in range(rng.randint(1, 3)))}{rng.choice('xyz ')}{rng.choice(['', '', '', 'ü', '–', '’'])} of it" for _ in range(7000)]
+    lines = [x for x in lines if not encoding.suspicious(x)]
+    model = encoding.train(spark.createDataFrame([(x,) for x in lines], "text string").repartition(3))
+    gains, pairs, runs = [], [], {(x[m.start() - 2 : m.start()], m[0], x[m.end() : m.end() + 2]) for x in lines for m in re.finditer(r"[^\x00-\x7f]+", x)}
+    assert len(runs) > 2 * encoding.VALIDATION_ROWS
+    ends = [("", a[0], a[1] + run + z) for a, run, z in runs if not a[0].isascii()]
+    for a, run, z in [*runs, *ends]:
+        own = model.score(a, run, z)
+        gains += [own - model.score(a, g, z) for e in encoding.ENCODINGS for g in [_garble(run, e)] if encoding.undo_once(g, e) == run != g]
+        pairs += [model.score(a, t, z) - own for t, _ in encoding.pair_candidates(run)]
+    margin = max(1.0, sorted(gains)[len(gains) // 100] / 2)
+    assert model.margin == margin and model.pair_margin == max(0.0, *pairs) + margin
+    assert not any(encoding.Repairer(model).repair(x)[0] for x in lines)
+
+
+def test_contexts_are_handed_on_whatever_is_remembered(monkeypatch):
+    monkeypatch.setattr(encoding, "SEEN_CHARS", 30)
+    texts = [f"a é{chr(0x3B1 + i % 20)} z" for i in range(200)]
+    got = [c for b in encoding._count(pa.RecordBatch.from_pydict({"t": [t]}) for t in texts) for c in b.column(3).to_pylist() if c]
+    assert set(got) == {f"a é{chr(0x3B1 + i)} z"[-6:] for i in range(20)}
+
+
 def test_restoration_of_held_out_text(spark):
     """Clean text garbled on purpose comes back: 0.99 of it exactly."""
     words = "Größe façade naïve “quoted” – the company’s résumé § 4 año coût €5 Überschuß señor".split()
